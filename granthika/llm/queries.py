@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granthika.llm import sitelines
+from granthika.llm import quality, sitelines
 from granthika.registry import Registry
 from granthika.session import table
 
@@ -31,3 +31,14 @@ SELECT chapter_id, CAST(line_no AS BIGINT) AS line_no FROM keyed JOIN cases USIN
 @REGISTRY.add("p6_found", P6_SQL)
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sitelines.found(table(spark, sf_dir, "chapters"))
+
+
+@REGISTRY.add("p5_found")
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.found(table(spark, sf_dir, "chapters"), table(spark, sf_dir, "common_words"))
+
+
+@REGISTRY.add("p5_text_statistics")
+def p5_text_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics, type and confidence of every chapter."""
+    return quality.chapter_types(table(spark, sf_dir, "chapters"), table(spark, sf_dir, "common_words")).drop("pattern")
