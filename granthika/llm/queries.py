@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granthika.llm import quality, sitelines
+from granthika.llm import mixing, packing, quality, sitelines, splitting
 from granthika.registry import Registry
 from granthika.session import table
 
@@ -42,3 +42,59 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_text_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics, type and confidence of every chapter."""
     return quality.chapter_types(table(spark, sf_dir, "chapters"), table(spark, sf_dir, "common_words")).drop("pattern")
+
+
+P3_SQL = r"""
+WITH lim AS (SELECT corpus, max(chunk_max_words) AS m FROM manifest WHERE corpus IS NOT NULL GROUP BY corpus)
+SELECT chunk_id FROM chunks JOIN lim USING (corpus)
+WHERE len(regexp_extract_all(text, '[^\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+')) > m
+"""
+
+
+@REGISTRY.add("p3_found", P3_SQL)
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitting.found(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "manifest"))
+
+
+@REGISTRY.add("p3_pieces")
+def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All chunks, the oversized ones as numbered pieces."""
+    return splitting.pieces(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "manifest"))
+
+
+P7_SQL = """
+SELECT container, doc_id FROM documents, containers
+WHERE coalesce(octet_length(encode(text)), 0) + 1 > capacity_tokens
+"""
+
+
+@REGISTRY.add("p7_found", P7_SQL)
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.found(table(spark, sf_dir, "documents"), table(spark, sf_dir, "containers"))
+
+
+@REGISTRY.add("p7_use_of_space")
+def p7_use_of_space(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bins and filled share of each container."""
+    containers = table(spark, sf_dir, "containers")
+    return packing.use_of_space(packing.packed_documents(table(spark, sf_dir, "documents"), containers), containers)
+
+
+P8_SQL = r"""
+WITH sized AS (SELECT lower(regexp_replace(source, '^[\s\x{a0}]+|[\s\x{a0}]+$', '', 'g')) AS source, coalesce(octet_length(encode(text)), 0) + 1 AS tokens FROM documents),
+every AS (SELECT sum(tokens) AS n FROM sized),
+held AS (SELECT source, sum(tokens) AS tokens FROM sized GROUP BY source)
+SELECT t.source FROM mix_targets t CROSS JOIN every LEFT JOIN held h ON h.source = t.source
+WHERE coalesce(h.tokens, 0) * t.max_repeats < t.target_weight * every.n
+"""
+
+
+@REGISTRY.add("p8_found", P8_SQL)
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.found(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+@REGISTRY.add("p8_shares")
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and reached share of each source in a mixture as large as the corpus."""
+    return mixing.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
