@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granthika.llm import mixing, packing, quality, sitelines, splitting
+from granthika.llm import levels, mixing, packing, quality, sitelines, splitting
 from granthika.registry import Registry
 from granthika.session import table
 
@@ -98,3 +98,8 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target and reached share of each source in a mixture as large as the corpus."""
     return mixing.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+@REGISTRY.add("p9_found")
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return levels.found(table(spark, sf_dir, "documents"), table(spark, sf_dir, "level_samples"), table(spark, sf_dir, "common_words"))
