@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granthika.llm import levels, mixing, packing, quality, sitelines, splitting
+from granthika.llm import levels, mixing, neardup, packing, quality, sitelines, splitting
 from granthika.registry import Registry
 from granthika.session import table
 
@@ -103,3 +103,24 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REGISTRY.add("p9_found")
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return levels.found(table(spark, sf_dir, "documents"), table(spark, sf_dir, "level_samples"), table(spark, sf_dir, "common_words"))
+
+
+P1_SQL = r"""
+WITH words AS (SELECT chapter_id, list_filter(regexp_split_to_array(lower(text), '[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+'), lambda x: x <> '') AS w FROM chapters WHERE text IS NOT NULL),
+runs AS (SELECT DISTINCT chapter_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s FROM words, LATERAL (SELECT unnest(range(1, len(w) - 1)) AS i) WHERE len(w) >= 20),
+sized AS (SELECT chapter_id, count(*) AS n FROM runs GROUP BY chapter_id),
+shared AS (SELECT a.chapter_id AS x, b.chapter_id AS y, count(*) AS c FROM runs a JOIN runs b ON a.s = b.s AND a.chapter_id < b.chapter_id GROUP BY a.chapter_id, b.chapter_id)
+SELECT x AS chapter_id_a, y AS chapter_id_b FROM shared JOIN sized a ON a.chapter_id = x JOIN sized b ON b.chapter_id = y
+WHERE 5 * c >= 3 * (a.n + b.n - c)
+"""
+
+
+@REGISTRY.add("p1_found", P1_SQL)
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.found(table(spark, sf_dir, "chapters"))
+
+
+@REGISTRY.add("p1_groups")
+def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every chapter of five words or more with its group of near-duplicates, at five words and 0.8."""
+    return neardup.near_duplicates(table(spark, sf_dir, "chapters"), "chapter_id", "text").groups()
