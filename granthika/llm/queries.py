@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granthika.llm import levels, mixing, neardup, packing, quality, sitelines, splitting
+from granthika.llm import levels, mixing, neardup, packing, pages, quality, scans, sitelines, splitting
 from granthika.registry import Registry
 from granthika.session import table
 
@@ -124,3 +124,15 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every chapter of five words or more with its group of near-duplicates, at five words and 0.8."""
     return neardup.near_duplicates(table(spark, sf_dir, "chapters"), "chapter_id", "text").groups()
+
+
+@REGISTRY.add("p4_found")
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = pages.without_site_lines(table(spark, sf_dir, "chapters"))
+    return scans.found(own, pages.types_of(own, table(spark, sf_dir, "common_words")))
+
+
+@REGISTRY.add("p4_repaired")
+def p4_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every chapter as continuous paragraphs."""
+    return scans.repaired(pages.without_site_lines(table(spark, sf_dir, "chapters"))).drop("noise")
