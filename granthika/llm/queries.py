@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granthika.llm import levels, mixing, neardup, packing, pages, quality, scans, sitelines, splitting
+from granthika.llm import languages, levels, mixing, neardup, packing, pages, quality, scans, sitelines, splitting
 from granthika.registry import Registry
 from granthika.session import table
 
@@ -136,3 +136,16 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every chapter as continuous paragraphs."""
     return scans.repaired(pages.without_site_lines(table(spark, sf_dir, "chapters"))).drop("noise")
+
+
+@REGISTRY.add("p2_found")
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = pages.without_site_lines(table(spark, sf_dir, "chapters"))
+    return languages.found(own, pages.types_of(own, table(spark, sf_dir, "common_words")), table(spark, sf_dir, "lang_samples"))
+
+
+@REGISTRY.add("p2_passages")
+def p2_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language and confidence of every passage of every chapter."""
+    own = pages.without_site_lines(table(spark, sf_dir, "chapters"))
+    return languages.document_languages(own, languages.fit(table(spark, sf_dir, "lang_samples")), by_passage=True)
