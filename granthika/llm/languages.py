@@ -36,11 +36,18 @@ MIN_WORDS = 20
 READ_BYTES = 6_000_000
 # Labels that name no language.
 PLACEHOLDERS = ("", "-", "--", "n/a", "na", "none", "null", "unknown", "undefined", "?", "other")
-_ENDS = re.compile(rb"(?:[.!?]+[\"')\]]*\s+|\xe0\xa5\xa4[\"')\]|]*\s*|\|\s+|\n\s*\n)")
+_ENDS = re.compile(rb"(?:\x0b+|[.!?]+[\"')\]]*\s+|\xe0\xa5\xa4[\"')\]|]*\s*|\|\s+|\n\s*\n)")
 
 
 def clean(text: str) -> bytes:
-    """The bytes the network reads: lower-cased, one blank for each run of white space but blank lines."""
+    """The bytes the network reads: lower-cased, and as many as the text has.
+
+    A line much shorter than the longest ends a sentence (a heading, say): its end becomes a vertical tab.
+    """
+    if "\n" in text:
+        lines = text.split("\n")
+        short = 0.6 * max(map(len, lines))
+        text = lines[0] + "".join(("\x0b" if len(a) < short else "\n") + b for a, b in zip(lines, lines[1:], strict=False))
     return text.encode("utf-8", "replace").lower()
 
 
@@ -221,7 +228,8 @@ def sentence_starts(text: bytes) -> np.ndarray:
 def passages(text: bytes, p: np.ndarray, least: int = 4) -> list[tuple[int, int, int, int, float]]:
     """Passages as (start, end, language, words, confidence).
 
-    A sentence of fewer than ``least`` words, and one whose language has no two thirds of it, goes with the passage before it.
+    A sentence of fewer than ``least`` words goes with the passage before it, as does one whose language has less than two
+    thirds of it (half, from twice ``least`` words on).
     """
     starts = sentence_starts(text)
     if not len(starts):
@@ -233,7 +241,7 @@ def passages(text: bytes, p: np.ndarray, least: int = 4) -> list[tuple[int, int,
     best = means.argmax(1)
     sure = means.max(1)
     words = np.array([len(text[a:b].split()) for a, b in zip(starts, ends, strict=True)])
-    steady = (words >= least) & (sure >= 0.67)
+    steady = (words >= least) & (sure >= np.where(words >= 2 * least, 0.5, 0.67))
     if steady.any():
         whole = int(np.bincount(best[steady], weights=words[steady]).argmax())
     else:
@@ -265,11 +273,15 @@ def languages_of(text: bytes, p: np.ndarray, min_words: int = MIN_WORDS) -> tupl
     return [(k, words[k], confidence[k]) for i, k in enumerate(order) if i == 0 or words[k] >= min_words], parts
 
 
-def fit(lang_samples: DataFrame) -> ByteTagger:
+def fit(lang_samples: DataFrame, english: DataFrame | None = None) -> ByteTagger:
+    """Train on the labelled samples and, if given, on more English ones (``sample_id``, ``text``)."""
     rows = lang_samples.where("lang is not null and text is not null").orderBy("sample_id").limit(MOST_SAMPLES).collect()
     if not rows:
         raise ValueError("no labelled samples")
-    return ByteTagger(sorted({r.lang for r in rows})).fit([(r.lang, r.text) for r in rows])
+    samples = [(r.lang, r.text) for r in rows]
+    if english is not None and any(g == "en" for g, _ in samples):
+        samples += [("en", r.text) for r in english.where("text is not null").orderBy("sample_id").limit(MOST_SAMPLES).collect()]
+    return ByteTagger(sorted({g for g, _ in samples})).fit(samples)
 
 
 def document_languages(docs: DataFrame, model: ByteTagger, id_col: str = "chapter_id", text: str = "own_text", min_words: int = 1, by_passage: bool = False) -> DataFrame:
@@ -315,9 +327,9 @@ def label_codes(lang_samples: DataFrame) -> DataFrame:
     return names.unionByName(lang_samples.select(F.lower(F.trim("lang")).alias("label"), F.col("lang").alias("label_lang"))).where("label is not null").distinct()
 
 
-def found(pages: DataFrame, types: DataFrame, lang_samples: DataFrame) -> DataFrame:
+def found(pages: DataFrame, types: DataFrame, lang_samples: DataFrame, english: DataFrame | None = None) -> DataFrame:
     """Pages of prose whose label is missing, names another language, or covers only one of several."""
-    got = document_languages(pages, fit(lang_samples), min_words=MIN_WORDS)
+    got = document_languages(pages, fit(lang_samples, english), min_words=MIN_WORDS)
     labels = pages.select("chapter_id", F.lower(F.regexp_replace("medium", r"^[\s\x{a0}]+|[\s\x{a0}]+$", "")).alias("label")).join(F.broadcast(label_codes(lang_samples)), "label", "left").select("chapter_id", "label_lang")
     wrong = got.join(labels, "chapter_id").where("label_lang is null or languages > 1 or label_lang <> lang")
     return wrong.join(types.where("kind <> 'prose'").select("chapter_id"), "chapter_id", "left_anti").select("chapter_id", "lang")

@@ -141,11 +141,11 @@ def p4_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REGISTRY.add("p2_found")
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = pages.without_site_lines(table(spark, sf_dir, "chapters"))
-    return languages.found(own, pages.types_of(own, table(spark, sf_dir, "common_words")), table(spark, sf_dir, "lang_samples"))
+    return languages.found(own, pages.types_of(own, table(spark, sf_dir, "common_words")), table(spark, sf_dir, "lang_samples"), table(spark, sf_dir, "level_samples"))
 
 
 @REGISTRY.add("p2_passages")
 def p2_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language and confidence of every passage of every chapter."""
     own = pages.without_site_lines(table(spark, sf_dir, "chapters"))
-    return languages.document_languages(own, languages.fit(table(spark, sf_dir, "lang_samples")), by_passage=True)
+    return languages.document_languages(own, languages.fit(table(spark, sf_dir, "lang_samples"), table(spark, sf_dir, "level_samples")), by_passage=True)
