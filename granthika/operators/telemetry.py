@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,10 +82,12 @@ def hit_test(points: DataFrame, boxes: DataFrame) -> DataFrame:
 
 def overlay(*maps: Column) -> Column:
     """Maps merged, the right one wins."""
-    out = maps[0]
-    for m in maps[1:]:
-        out = F.map_from_entries(F.concat(F.map_entries(F.map_filter(out, lambda k, v, m=m: ~F.map_contains_key(m, k))), F.map_entries(m)))
-    return out
+
+    def over(left: Column, right: Column) -> Column:
+        kept = F.map_filter(left, lambda k, v: ~F.array_contains(F.map_keys(right), k))
+        return F.map_from_entries(F.concat(F.map_entries(kept), F.map_entries(right)))
+
+    return reduce(over, maps)
 
 
 def key_value(text: Column) -> Column:

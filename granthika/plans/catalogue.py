@@ -1,5 +1,669 @@
-"""All queries over the engine's own operators."""
+"""All queries over the engine's own operators, with their DuckDB counterparts."""
 
+from __future__ import annotations
+
+import math
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from granthika.functions import signal as S
+from granthika.functions import text as T
+from granthika.operators import chunking, grounding, harvest, search, telemetry, tfidf
 from granthika.registry import Registry
+from granthika.session import settle, shared_dir, table
+from granthika.sources import files
+from granthika.streaming import operators as streams
 
 REGISTRY = Registry()
+query = REGISTRY.add
+GATE = grounding.MIN_SCORES["tfidf"]
+
+
+def q(s: str) -> str:
+    """A SQL string literal."""
+    return "'" + s.replace("'", "''") + "'"
+
+
+# ---- fragments of SQL -------------------------------------------------------------------------
+STOP_SQL = "(" + ", ".join(q(w) for w in dict.fromkeys(T.STOPWORDS)) + ")"
+
+
+def tokens_sql(c: str) -> str:
+    return f"list_filter(regexp_extract_all(lower({c}), {q(T.TOKEN)}), lambda t: length(t) > 2 AND t NOT IN {STOP_SQL})"
+
+
+def trim_sql(c: str) -> str:
+    return f"regexp_replace({c}, {q(T.TRIM)}, '', 'g')"
+
+
+def intent_sql(c: str) -> str:
+    return "CASE " + " ".join(f"WHEN regexp_matches(lower({c}), {q(p)}) THEN {q(n)}" for n, p in T.INTENT_PATTERNS) + f" ELSE {q(T.DEFAULT_INTENT)} END"
+
+
+CITE_SQL = "'SOURCE ' || coalesce(content_id, 'unknown') || ' · ' || coalesce(chapter, '') || ' · ' || coalesce(section, '') || ' (p.' || CAST(coalesce(page, 0) AS VARCHAR) || ')'"
+REQUESTS_SQL = f"requests AS (SELECT min(id) AS request_id, text FROM (SELECT id, {trim_sql('query.text')} AS text FROM interactions WHERE query.text IS NOT NULL) WHERE text <> '' GROUP BY text)"
+FIT_SQL = f"""
+counts AS (SELECT chunk_id, term, count(*) AS tf FROM (SELECT chunk_id, unnest({tokens_sql('text')}) AS term FROM chunks) GROUP BY ALL),
+size AS (SELECT greatest(count(*), 1) AS n FROM chunks),
+vocab AS (SELECT term, df, ln((n + 1.0) / (df + 1.0)) + 1 AS idf FROM (SELECT term, count(*) AS df FROM counts GROUP BY term), size WHERE df <= 0.6 * n),
+raw AS (SELECT chunk_id, term, (ln(tf) + 1) * idf AS w FROM counts JOIN vocab USING (term)),
+norms AS (SELECT chunk_id, sqrt(sum(w * w)) AS norm FROM raw GROUP BY chunk_id)
+"""
+RANK_SQL = f"""
+WITH {REQUESTS_SQL}, {FIT_SQL},
+asked AS (SELECT request_id, term, (ln(count(*)) + 1) * any_value(idf) AS w FROM (SELECT request_id, unnest({tokens_sql('text')}) AS term FROM requests) JOIN vocab USING (term) GROUP BY request_id, term),
+asked_norm AS (SELECT request_id, sqrt(sum(w * w)) AS norm FROM asked GROUP BY request_id),
+scored AS (SELECT a.request_id, r.chunk_id, round(sum((r.w / n.norm) * (a.w / an.norm)), 6) AS score
+  FROM asked a JOIN asked_norm an USING (request_id) JOIN raw r ON r.term = a.term JOIN norms n ON n.chunk_id = r.chunk_id GROUP BY ALL),
+ranked AS (SELECT request_id, CAST(row_number() OVER (PARTITION BY request_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rn, chunk_id, score FROM scored WHERE score > 0 QUALIFY rn <= 3)
+"""
+GATE_SQL = f", gated AS (SELECT r.request_id, coalesce(max(k.score), 0.0) AS best_score, coalesce(max(k.score), 0.0) < {GATE} OR max(k.score) IS NULL AS refused FROM requests r LEFT JOIN ranked k USING (request_id) GROUP BY r.request_id)"
+RELEVANT_SQL = f", relevant AS (SELECT request_id, rn AS source_no, chunk_id, score, text, {CITE_SQL} AS citation FROM ranked JOIN chunks USING (chunk_id) WHERE score >= {GATE})"
+GROUPED_SQL = ", grouped AS (SELECT request_id, string_agg('[' || source_no || '] (' || citation || ')' || chr(10) || text, chr(10) || chr(10) ORDER BY source_no) AS sources_block, string_agg(citation, ' | ' ORDER BY source_no) AS citations, min_by(text, source_no) AS first_text FROM relevant GROUP BY request_id)"
+
+
+# ---- inputs -----------------------------------------------------------------------------------
+def requests(spark: SparkSession, sf: str) -> DataFrame:
+    """Distinct request texts of the log, each under its first id."""
+    text = T.trimmed(F.col("query.text"))
+    return table(spark, sf, "interactions").select("id", text.alias("text")).where("text <> ''").groupBy("text").agg(F.min("id").alias("request_id")).select("request_id", "text")
+
+
+def ranked(spark: SparkSession, sf: str) -> DataFrame:
+    return search.sparse_topk(table(spark, sf, "chunks").select("chunk_id", "text"), requests(spark, sf))
+
+
+def counts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    items = table(spark, sf, "chunks").select("chunk_id", "text")
+    c = tfidf.term_counts(items, "chunk_id", "text")
+    return c, tfidf.vocabulary(c, items)
+
+
+# ---- fit --------------------------------------------------------------------------------------
+@query("token_counts", f"SELECT chunk_id, CAST(len({tokens_sql('text')}) AS BIGINT) AS n_tokens, CAST(len(list_distinct({tokens_sql('text')})) AS BIGINT) AS n_distinct FROM chunks WHERE text IS NOT NULL")
+def token_counts(spark, sf):
+    t = T.content_tokens(F.col("text"))
+    return table(spark, sf, "chunks").where("text is not null").select("chunk_id", F.size(t).cast("bigint").alias("n_tokens"), F.size(F.array_distinct(t)).cast("bigint").alias("n_distinct"))
+
+
+@query("term_frequency", f"WITH {FIT_SQL} SELECT chunk_id, term, tf FROM counts JOIN vocab USING (term)")
+def term_frequency(spark, sf):
+    c, v = counts(spark, sf)
+    return c.join(v.select("term"), "term", "left_semi").select("chunk_id", "term", "tf")
+
+
+@query("document_frequency", f"WITH {FIT_SQL} SELECT term, count(*) AS df FROM counts GROUP BY term")
+def document_frequency(spark, sf):
+    c, _ = counts(spark, sf)
+    return c.groupBy("term").agg(F.count("*").alias("df"))
+
+
+@query("vocabulary", f"WITH {FIT_SQL} SELECT term, CAST(row_number() OVER (ORDER BY term) - 1 AS BIGINT) AS term_id, df, round(idf, 6) AS idf FROM vocab")
+def vocabulary(spark, sf):
+    _, v = counts(spark, sf)
+    return tfidf.with_ids(v).withColumn("idf", F.round("idf", 6))
+
+
+@query("tfidf_norms", f"WITH {FIT_SQL} SELECT chunk_id, round(norm, 6) AS norm FROM norms")
+def tfidf_norms(spark, sf):
+    c, v = counts(spark, sf)
+    return tfidf.norms(c, v, "chunk_id").withColumn("norm", F.round("norm", 6))
+
+
+@query("tfidf_unit_check", f"WITH {FIT_SQL} SELECT count(*) AS vectors, count(*) AS unit FROM norms")
+def tfidf_unit_check(spark, sf):
+    c, v = counts(spark, sf)
+    length = tfidf.postings(c, v, "chunk_id").groupBy("chunk_id").agg(F.sum(F.col("weight") * F.col("weight")).alias("l"))
+    return length.agg(F.count("*").alias("vectors"), F.count_if(F.abs(F.col("l") - 1) < 1e-9).alias("unit"))
+
+
+@query("stopword_filter", f"SELECT chunk_id, CAST(len(regexp_extract_all(lower(text), {q(T.TOKEN)})) - len({tokens_sql('text')}) AS BIGINT) AS dropped FROM chunks WHERE text IS NOT NULL")
+def stopword_filter(spark, sf):
+    return table(spark, sf, "chunks").where("text is not null").select("chunk_id", (F.size(T.all_tokens(F.col("text"))) - F.size(T.content_tokens(F.col("text")))).cast("bigint").alias("dropped"))
+
+
+# ---- search and grounding ---------------------------------------------------------------------
+@query("retrieval_topk", RANK_SQL + "SELECT * FROM ranked")
+def retrieval_topk(spark, sf):
+    """The three best chunks for each request of the log."""
+    return ranked(spark, sf)
+
+
+@query("retrieval_gate", RANK_SQL + GATE_SQL + " SELECT * FROM gated")
+def retrieval_gate(spark, sf):
+    return grounding.gate(requests(spark, sf), ranked(spark, sf), F.lit(GATE))
+
+
+@query("retrieval_relevant_passages", RANK_SQL + RELEVANT_SQL + " SELECT request_id, source_no, chunk_id, score, citation FROM relevant")
+def retrieval_relevant_passages(spark, sf):
+    return grounding.cited(grounding.relevant(ranked(spark, sf), F.lit(GATE)), table(spark, sf, "chunks")).select("request_id", "source_no", "chunk_id", "score", "citation")
+
+
+_INSTRUCT_SQL = "CASE intent " + " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in grounding.INSTRUCTIONS.items()) + " END"
+
+
+@query("grounded_prompt", RANK_SQL + RELEVANT_SQL + GROUPED_SQL + f" SELECT request_id, intent, {q(grounding.SYSTEM_PROMPT)} || sources_block AS system_prompt, 'Request: ' || text || chr(10) || chr(10) || {_INSTRUCT_SQL} AS user_prompt FROM (SELECT r.request_id, r.text, {intent_sql('r.text')} AS intent, sources_block FROM requests r JOIN grouped USING (request_id))")
+def grounded_prompt(spark, sf):
+    grouped = grounding.sources(grounding.cited(grounding.relevant(ranked(spark, sf), F.lit(GATE)), table(spark, sf, "chunks")))
+    return grounding.prompts(requests(spark, sf), grouped).select("request_id", "intent", "system_prompt", "user_prompt")
+
+
+def _clean_sql(c: str) -> str:
+    a = f"regexp_replace(coalesce({c}, ''), {q(T.PREAMBLE)}, '')"
+    return trim_sql(f"regexp_replace(regexp_replace({a}, {q(T.REFUSAL)}, '', 'g'), {q(T.EMPTY_BRACKETS)}, '', 'g')")
+
+
+@query("extractive_answer", RANK_SQL + GATE_SQL + RELEVANT_SQL + GROUPED_SQL + f" SELECT request_id, CAST(bad AS BOOLEAN) AS refused, intent, CASE WHEN bad THEN {q(grounding.REFUSAL_TEXT)} ELSE {_clean_sql('first_text')} END AS spoken, CASE WHEN bad THEN '' ELSE citations END AS citations FROM (SELECT g.request_id, {intent_sql('r.text')} AS intent, first_text, citations, g.refused OR {trim_sql('first_text')} = '' OR regexp_matches(coalesce(first_text, ''), {q('^(?:' + T.REFUSAL + ')')}) AS bad FROM gated g JOIN requests r USING (request_id) LEFT JOIN grouped p USING (request_id))")
+def extractive_answer(spark, sf):
+    out = grounding.answers(requests(spark, sf), settle(ranked(spark, sf)), table(spark, sf, "chunks"), F.lit(GATE))
+    return out.select("request_id", "refused", "intent", "spoken", F.array_join("citations", " | ").alias("citations"))
+
+
+@query("refusal_rate_by_intent", RANK_SQL + GATE_SQL + f" SELECT intent, count(*) AS requests, CAST(count_if(refused) AS BIGINT) AS refused FROM (SELECT {intent_sql('text')} AS intent, refused FROM gated JOIN requests USING (request_id)) GROUP BY intent")
+def refusal_rate_by_intent(spark, sf):
+    asked = requests(spark, sf)
+    gated = grounding.gate(asked, ranked(spark, sf), F.lit(GATE)).join(asked, "request_id")
+    return gated.groupBy(T.intent(F.col("text")).alias("intent")).agg(F.count("*").alias("requests"), F.count_if("refused").alias("refused"))
+
+
+THRESHOLDS = (0.05, 0.1, 0.2, 0.3, 0.5, 0.84)
+
+
+@query("threshold_sweep", RANK_SQL + GATE_SQL + f" SELECT threshold, count(*) AS requests, CAST(count_if(best_score >= threshold) AS BIGINT) AS answered FROM gated, (SELECT unnest([{', '.join(f'CAST({t} AS DOUBLE)' for t in THRESHOLDS)}]) AS threshold) GROUP BY threshold")
+def threshold_sweep(spark, sf):
+    return grounding.sweep(grounding.gate(requests(spark, sf), ranked(spark, sf), F.lit(GATE)), THRESHOLDS)
+
+
+@query("threshold_precedence", f"SELECT corpus, built_at, coalesce(recommended_min_score, CAST({grounding.DEFAULT_MIN_SCORE} AS DOUBLE)) AS min_score, CAST(CASE embedder_backend WHEN 'tfidf' THEN 0.1 WHEN 'onnx' THEN 0.84 WHEN 'sentence-transformers' THEN 0.84 ELSE 0.3 END AS DOUBLE) AS by_backend FROM manifest")
+def threshold_precedence(spark, sf):
+    by = F.lit(grounding.DEFAULT_MIN_SCORE)
+    for name, v in grounding.MIN_SCORES.items():
+        by = F.when(F.col("embedder_backend") == name, F.lit(v)).otherwise(by)
+    return table(spark, sf, "manifest").select("corpus", "built_at", grounding.threshold(None, F.col("recommended_min_score")).alias("min_score"), by.alias("by_backend"))
+
+
+_DENSE_SQL = "round(list_sum(list_transform(range(1, len(v.embedding) + 1), lambda i: CAST(v.embedding[i] AS DOUBLE) * CAST(q.embedding[i] AS DOUBLE))), 6)"
+
+
+@query("dense_topk", f"WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, {_DENSE_SQL} AS score FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0) SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rn, vec_id, score FROM s QUALIFY rn <= 4")
+def dense_topk(spark, sf):
+    """The four nearest of all vectors to each query, the queries being the vectors whose id 50 divides."""
+    v = table(spark, sf, "embeddings")
+    return search.dense_topk(v, v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"))
+
+
+@query("dense_label_centroid", "WITH l AS (SELECT label, CAST(i - 1 AS INTEGER) AS dim, avg(CAST(embedding[i] AS DOUBLE)) AS m FROM embeddings, LATERAL (SELECT unnest(range(1, len(embedding) + 1)) AS i) GROUP BY ALL), n AS (SELECT label, sqrt(sum(m * m)) AS norm FROM l GROUP BY label) SELECT label, dim, round(m / norm, 6) AS value FROM l JOIN n USING (label)")
+def dense_label_centroid(spark, sf):
+    return search.centroids(table(spark, sf, "embeddings")).withColumn("value", F.round("value", 6))
+
+
+@query("dense_unit_norm_check", "SELECT count(*) AS vectors, CAST(count_if(abs(l - 1) < 1e-3) AS BIGINT) AS unit, CAST(min(d) AS BIGINT) AS least_dim, CAST(max(d) AS BIGINT) AS most_dim FROM (SELECT len(embedding) AS d, list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))) AS l FROM embeddings)")
+def dense_unit_norm_check(spark, sf):
+    v = table(spark, sf, "embeddings").select(F.size("embedding").cast("bigint").alias("d"), search.dot(F.col("embedding"), F.col("embedding")).alias("l"))
+    return v.agg(F.count("*").alias("vectors"), F.count_if(F.abs(F.col("l") - 1) < 1e-3).alias("unit"), F.min("d").alias("least_dim"), F.max("d").alias("most_dim"))
+
+
+@query("manifest_guard", "SELECT m.corpus, m.built_at, m.num_chunks, count(c.chunk_id) AS found, m.num_chunks = count(c.chunk_id) AS aligned FROM manifest m LEFT JOIN chunks c ON c.corpus = m.corpus GROUP BY m.corpus, m.built_at, m.num_chunks")
+def manifest_guard(spark, sf):
+    """Chunks that a manifest promises against those there are."""
+    have = table(spark, sf, "chunks").groupBy("corpus").agg(F.count("*").alias("found"))
+    m = table(spark, sf, "manifest").select("corpus", "built_at", "num_chunks").join(have, "corpus", "left").withColumn("found", F.coalesce("found", F.lit(0)))
+    return m.withColumn("aligned", F.col("num_chunks") == F.col("found"))
+
+
+@query("embedder_mismatch", "SELECT a.corpus, a.built_at, b.built_at AS other_built_at, a.embedder <> b.embedder AS mismatch FROM manifest a JOIN manifest b ON a.corpus = b.corpus AND a.built_at < b.built_at")
+def embedder_mismatch(spark, sf):
+    m = table(spark, sf, "manifest").select("corpus", "built_at", "embedder")
+    o = m.select("corpus", F.col("built_at").alias("other_built_at"), F.col("embedder").alias("other"))
+    return m.join(o, "corpus").where("built_at < other_built_at").select("corpus", "built_at", "other_built_at", (F.col("embedder") != F.col("other")).alias("mismatch"))
+
+
+# ---- chunks -----------------------------------------------------------------------------------
+_WORDS_SQL = f"regexp_extract_all(text, {q(T.WORD)})"
+_CHUNK_SQL = f"""
+WITH w AS (SELECT doc_id, {_WORDS_SQL} AS w FROM documents WHERE text IS NOT NULL),
+at AS (SELECT doc_id, w, unnest(range(0, CASE WHEN len(w) <= 120 THEN 1 ELSE CAST(ceil((len(w) - 120) / 95.0) AS BIGINT) + 1 END)) AS i FROM w WHERE len(w) > 0)
+"""
+_CHUNK_SQL = _CHUNK_SQL.replace("\nat AS", "\npos AS")
+
+
+@query("chunk_documents", _CHUNK_SQL + "SELECT doc_id, CAST(i AS INTEGER) AS chunk_index, array_to_string(w[i * 95 + 1 : i * 95 + 120], ' ') AS chunk_text FROM pos")
+def chunk_documents(spark, sf):
+    return chunking.chunk(table(spark, sf, "documents"))
+
+
+@query("chunk_stats", _CHUNK_SQL + "SELECT count(*) AS chunks, count(DISTINCT doc_id) AS documents, max(len(w[i * 95 + 1 : i * 95 + 120])) AS most_words, CAST(sum(len(w[i * 95 + 1 : i * 95 + 120])) AS BIGINT) AS words FROM pos")
+def chunk_stats(spark, sf):
+    made = chunking.chunk(table(spark, sf, "documents")).withColumn("n", F.size(F.split("chunk_text", " ")).cast("bigint"))
+    return made.agg(F.count("*").alias("chunks"), F.countDistinct("doc_id").alias("documents"), F.max("n").alias("most_words"), F.sum("n").alias("words"))
+
+
+@query("chunk_defaults", "SELECT chunk_id, coalesce(content_id, 'unknown') AS content_id, coalesce(chapter, '') AS chapter, coalesce(section, '') AS section, coalesce(page, 0) AS page, coalesce(source, 'https://none.example') AS source, license, chunk_index FROM chunks")
+def chunk_defaults(spark, sf):
+    return chunking.with_defaults(table(spark, sf, "chunks"), "https://none.example").drop("text")
+
+
+@query("citation_format", f"SELECT chunk_id, {CITE_SQL} AS citation FROM chunks")
+def citation_format(spark, sf):
+    return table(spark, sf, "chunks").select("chunk_id", T.citation(F.col("content_id"), F.col("chapter"), F.col("section"), F.col("page")).alias("citation"))
+
+
+@query("normal_space", f"SELECT chunk_id, array_to_string({_WORDS_SQL}, ' ') AS text, CAST(len({_WORDS_SQL}) AS BIGINT) AS n_words FROM chunks WHERE text IS NOT NULL")
+def normal_space(spark, sf):
+    return table(spark, sf, "chunks").where("text is not null").select("chunk_id", T.normal_space(F.col("text")).alias("text"), F.size(T.words(F.col("text"))).cast("bigint").alias("n_words"))
+
+
+@query("page_snippet", "SELECT chapter_id, substring(text, 1, 100) AS snippet, length(text) >= 120 AS long_enough FROM chapters WHERE text IS NOT NULL")
+def page_snippet(spark, sf):
+    return table(spark, sf, "chapters").where("text is not null").select("chapter_id", F.substring("text", 1, 100).alias("snippet"), (F.length("text") >= harvest.MIN_CHARS).alias("long_enough"))
+
+
+# ---- text -------------------------------------------------------------------------------------
+_ASKED_SQL = "SELECT row_number() OVER (ORDER BY id, received_at, query.text, response) AS n"
+
+
+@query("intent_classification", f"WITH {REQUESTS_SQL} SELECT request_id, {intent_sql('text')} AS intent FROM requests")
+def intent_classification(spark, sf):
+    return requests(spark, sf).select("request_id", T.intent(F.col("text")).alias("intent"))
+
+
+def _exploded(df: DataFrame, key: str, column, name: str) -> DataFrame:
+    return df.select(key, F.posexplode(column).alias("pos", name))
+
+
+@query("sentence_split", f"WITH s AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, {q(T.SENTENCE)}), lambda x: {trim_sql('x')}), lambda x: x <> '') AS l FROM documents WHERE text IS NOT NULL) SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, l[i] AS sentence FROM s, LATERAL (SELECT unnest(range(1, len(l) + 1)) AS i)")
+def sentence_split(spark, sf):
+    return _exploded(table(spark, sf, "documents"), "doc_id", T.sentences(F.col("text")), "sentence")
+
+
+@query("translation_units", f"WITH s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace({trim_sql('text')}, {q(T.TRANSLATION_BREAK)}, '\\1' || chr(30), 'g'), chr(30)), lambda x: {trim_sql('x')}), lambda x: x <> '') AS l FROM documents WHERE text IS NOT NULL) SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, l[i] AS unit FROM s, LATERAL (SELECT unnest(range(1, len(l) + 1)) AS i)")
+def translation_units(spark, sf):
+    return _exploded(table(spark, sf, "documents"), "doc_id", T.translation_units(F.col("text")), "unit")
+
+
+_GENERATED = (
+    "NO_ANSWER_IN_SOURCE", "no answer in source.", "  ", "", "Plants make food. (NO_ANSWER_IN_SOURCE)", "Here's an explanation for a child: Heat moves.", "Here is the answer:\nLight is fast. []", "Herein lies: nothing",
+)
+_GENERATED_SQL = "generated AS (SELECT CAST(i AS INTEGER) AS case_id, t AS text FROM (VALUES " + ", ".join(f"({i}, {q(t)})" for i, t in enumerate(_GENERATED)) + ") v(i, t))"
+_ANSWERS_SQL = "answers AS (SELECT DISTINCT id, json_extract_string(response, '$.answer_en') AS text FROM interactions WHERE json_valid(response))"
+
+
+def generated(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(_GENERATED)), "case_id int, text string")
+
+
+@query("clean_answer", f"WITH {_GENERATED_SQL} SELECT case_id, {_clean_sql('text')} AS cleaned FROM generated")
+def clean_answer(spark, sf):
+    return generated(spark).select("case_id", T.clean_answer(F.col("text")).alias("cleaned"))
+
+
+def _refusal_sql(c: str) -> str:
+    t = trim_sql(f"coalesce({c}, '')")
+    return f"{t} = '' OR regexp_matches({t}, {q('^(?:' + T.REFUSAL + ')')})"
+
+
+@query("refusal_detect", f"WITH {_GENERATED_SQL} SELECT case_id, {_refusal_sql('text')} AS refusal FROM generated")
+def refusal_detect(spark, sf):
+    return generated(spark).select("case_id", T.is_refusal(F.col("text")).alias("refusal"))
+
+
+def responses(spark: SparkSession, sf: str) -> DataFrame:
+    """The log with its responses parsed; those cut off or empty have none."""
+    ok = F.try_parse_json("response").isNotNull()
+    kind = "struct<refused:boolean, answer_en:string, citations:array<string>>"
+    return table(spark, sf, "interactions").withColumn("r", F.when(ok, F.from_json("response", kind)))
+
+
+@query("json_response", "SELECT id, epoch_us(received_at) AS received_us, TRY_CAST(json_extract(response, '$.refused') AS BOOLEAN) AS refused, json_extract_string(response, '$.answer_en') AS answer_en, CAST(coalesce(json_array_length(response, '$.citations'), 0) AS INTEGER) AS n_citations FROM interactions WHERE response IS NOT NULL AND response <> '' AND json_valid(response)")
+def json_response(spark, sf):
+    return responses(spark, sf).where("r is not null and response <> ''").select("id", F.unix_micros("received_at").alias("received_us"), "r.refused", "r.answer_en", F.coalesce(F.size("r.citations"), F.lit(0)).alias("n_citations"))
+
+
+@query("cited_items", "WITH c AS (SELECT DISTINCT id, unnest(CAST(json_extract(response, '$.citations') AS VARCHAR[])) AS content_id FROM interactions WHERE response IS NOT NULL AND response <> '' AND json_valid(response)) SELECT content_id, count(*) AS times FROM c GROUP BY content_id")
+def cited_items(spark, sf):
+    return responses(spark, sf).select("id", F.explode("r.citations").alias("content_id")).distinct().groupBy("content_id").agg(F.count("*").alias("times"))
+
+
+@query("language_routing", "SELECT doc_id, CASE WHEN lower(lang) = 'en' THEN 'EN' ELSE lower(lang) END AS code, lang IS NOT NULL AND lang <> '' AND lower(lang) <> 'en' AS translate FROM documents")
+def language_routing(spark, sf):
+    wanted = F.col("lang").isNotNull() & (F.col("lang") != "") & (F.lower("lang") != "en")
+    return table(spark, sf, "documents").select("doc_id", T.language_code(F.col("lang")).alias("code"), wanted.alias("translate"))
+
+
+@query("first_clause", "SELECT doc_id, split_part(text, '.', 1) AS clause FROM documents WHERE text IS NOT NULL")
+def first_clause(spark, sf):
+    return table(spark, sf, "documents").where("text is not null").select("doc_id", T.first_clause(F.col("text")).alias("clause"))
+
+
+@query("source_rebased", "SELECT chapter_id, 'https://mirror.example' || regexp_replace(source, '^[A-Za-z][A-Za-z0-9+.\\-]*://[^/]*', '') AS url, left(content_id, 4) || repeat('*', greatest(length(content_id) - 4, 0)) AS masked FROM chapters")
+def source_rebased(spark, sf):
+    return table(spark, sf, "chapters").select("chapter_id", T.rebased(F.col("source"), "https://mirror.example/").alias("url"), T.masked(F.col("content_id")).alias("masked"))
+
+
+@query("base64_payload", "SELECT doc_id, to_base64(encode(text)) AS payload, decode(from_base64(to_base64(encode(text)))) = text AS same FROM documents WHERE text IS NOT NULL")
+def base64_payload(spark, sf):
+    p = F.base64(F.encode("text", "UTF-8"))
+    return table(spark, sf, "documents").where("text is not null").select("doc_id", F.regexp_replace(p, r"\r\n", "").alias("payload"), (F.decode(F.unbase64(p), "UTF-8") == F.col("text")).alias("same"))
+
+
+@query("passage_prefix", "SELECT c.chunk_id, CASE WHEN m.b THEN 'passage: ' || text ELSE text END AS input FROM chunks c LEFT JOIN (SELECT corpus, bool_or(embedder_backend <> 'tfidf') AS b FROM manifest GROUP BY corpus) m USING (corpus) WHERE text IS NOT NULL")
+def passage_prefix(spark, sf):
+    neural = table(spark, sf, "manifest").groupBy("corpus").agg(F.bool_or(F.col("embedder_backend") != "tfidf").alias("neural"))
+    c = table(spark, sf, "chunks").where("text is not null").join(neural, "corpus", "left")
+    return c.select("chunk_id", F.when(F.col("neural"), T.passage_prefix(F.col("text"), "passage", "onnx")).otherwise(T.passage_prefix(F.col("text"), "passage", "tfidf")).alias("input"))
+
+
+# ---- harvest ----------------------------------------------------------------------------------
+_ONCE_SQL = "once AS (SELECT * FROM search_items WHERE identifier IS NOT NULL AND identifier <> '' QUALIFY row_number() OVER (PARTITION BY identifier ORDER BY artifact_url NULLS FIRST, name NULLS FIRST) = 1)"
+
+
+def _first_sql(c: str) -> str:
+    return f"nullif({c}[1], '')"
+
+
+@query("harvest_pages", f"WITH {_ONCE_SQL} SELECT c.chapter_id, c.content_id, {trim_sql('coalesce(nullif(o.name, chr(0)[1:0]), o.identifier)')} AS chapter, 'page ' || CAST(c.page AS VARCHAR) AS section, c.page, o.artifact_url AS source, c.license, coalesce({_first_sql('o.board')}, c.board) AS board, coalesce({_first_sql('o.grade_level')}, c.grade) AS grade, coalesce({_first_sql('o.subject')}, c.subject) AS subject, coalesce({_first_sql('o.medium')}, c.medium) AS medium FROM once o JOIN chapters c ON c.content_id = o.identifier WHERE lower(o.artifact_url) LIKE '%.pdf' AND length(c.text) >= 120".replace("nullif(o.name, chr(0)[1:0])", "nullif(o.name, '')"))
+def harvest_pages(spark, sf):
+    return harvest.harvest(table(spark, sf, "search_items"), table(spark, sf, "chapters"))
+
+
+@query("harvest_counters", f"WITH {_ONCE_SQL}, p AS (SELECT content_id, count(*) AS pages FROM chapters WHERE length(text) >= 120 GROUP BY content_id), r AS (SELECT coalesce(lower(artifact_url) LIKE '%.pdf', false) AS wanted, pages FROM once LEFT JOIN p ON p.content_id = identifier) SELECT count(*) AS items, CAST(count_if(NOT wanted) AS BIGINT) AS other_type, CAST(count_if(wanted AND pages IS NOT NULL) AS BIGINT) AS with_text, CAST(count_if(wanted AND pages IS NULL) AS BIGINT) AS without_text, CAST(coalesce(sum(CASE WHEN wanted THEN pages END), 0) AS BIGINT) AS pages FROM r")
+def harvest_counters(spark, sf):
+    return harvest.counters(table(spark, sf, "search_items"), table(spark, sf, "chapters"))
+
+
+@query("harvest_filter", "SELECT DISTINCT identifier FROM search_items WHERE list_contains(grade_level, 'Class 7') AND list_contains(medium, 'English') AND mime_type = 'application/pdf'")
+def harvest_filter(spark, sf):
+    return harvest.predicates(table(spark, sf, "search_items"), grade="Class 7", medium="English", mime="application/pdf").select("identifier").distinct()
+
+
+@query("catalogue_page", "SELECT DISTINCT identifier FROM search_items ORDER BY identifier LIMIT 100 OFFSET 200")
+def catalogue_page(spark, sf):
+    """The third page of a hundred, a paging operator."""
+    return harvest.page_of(table(spark, sf, "search_items").select("identifier").distinct(), 200, 100)
+
+
+@query("pages_per_item_cap", "SELECT content_id, chapter_id FROM chapters WHERE content_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY content_id ORDER BY page, chapter_id) <= 5")
+def pages_per_item_cap(spark, sf):
+    return harvest.capped(table(spark, sf, "chapters").where("content_id is not null"), "content_id", ("page", "chapter_id"), 5).select("content_id", "chapter_id")
+
+
+@query("dedup_first_wins", "SELECT min(doc_id) AS doc_id FROM documents WHERE text IS NOT NULL GROUP BY text")
+def dedup_first_wins(spark, sf):
+    d = table(spark, sf, "documents").where("text is not null")
+    return d.groupBy(F.sha2("text", 256).alias("h")).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+
+
+@query("anti_refresh", "SELECT DISTINCT identifier FROM search_items WHERE identifier NOT IN (SELECT content_id FROM chapters WHERE content_id IS NOT NULL)")
+def anti_refresh(spark, sf):
+    have = table(spark, sf, "chapters").select(F.col("content_id").alias("identifier"))
+    return harvest.anti_refresh(table(spark, sf, "search_items").select("identifier").distinct(), have, "identifier")
+
+
+@query("header_enrichment", "SELECT n_name, r_name, count(c_custkey) AS customers FROM nation JOIN region ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL")
+def header_enrichment(spark, sf):
+    """One header row for many detail rows."""
+    c = table(spark, sf, "customer").groupBy("c_nationkey").agg(F.count("*").alias("customers"))
+    n = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return n.join(c, F.col("n_nationkey") == F.col("c_nationkey"), "left").select("n_name", "r_name", F.coalesce("customers", F.lit(0)).alias("customers"))
+
+
+@query("quality_gated_corpus", "SELECT source, count(*) AS docs, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents WHERE length(text) >= 120 AND content_id IN (SELECT identifier FROM search_items WHERE license IS NOT NULL) GROUP BY source")
+def quality_gated_corpus(spark, sf):
+    free = table(spark, sf, "search_items").where("license is not null").select(F.col("identifier").alias("content_id"))
+    return table(spark, sf, "documents").where("length(text) >= 120").join(free, "content_id", "left_semi").groupBy("source").agg(F.count("*").alias("docs"), F.sum("n_chars").alias("chars"))
+
+
+# ---- telemetry --------------------------------------------------------------------------------
+_STAGES_SQL = " UNION ALL ".join(f"SELECT id, '{b}' AS stage, round(timestamps.{b} - timestamps.{a}, 6) AS seconds FROM interactions" for a, b in zip(telemetry.STAMPS, telemetry.STAMPS[1:], strict=False))
+
+
+@query("stage_latency", _STAGES_SQL)
+def stage_latency(spark, sf):
+    return telemetry.stage_latencies(table(spark, sf, "interactions"))
+
+
+@query("latency_summary", f"SELECT stage, count(seconds) AS runs, round(max(seconds), 6) AS worst, round(quantile_cont(seconds, 0.95), 4) AS p95, round(avg(seconds), 4) AS mean FROM ({_STAGES_SQL}) GROUP BY stage")
+def latency_summary(spark, sf):
+    s = telemetry.stage_latencies(table(spark, sf, "interactions"))
+    return s.groupBy("stage").agg(F.count("seconds").alias("runs"), F.round(F.max("seconds"), 6).alias("worst"), F.round(F.percentile("seconds", 0.95), 4).alias("p95"), F.round(F.avg("seconds"), 4).alias("mean"))
+
+
+@query("timings_total", "SELECT id, epoch_us(received_at) AS received_us, round(coalesce(timestamps.asr_stop - timestamps.asr_start, 0) + coalesce(timestamps.llm_end - timestamps.llm_start, 0), 6) AS seconds FROM interactions WHERE timestamps IS NOT NULL")
+def timings_total(spark, sf):
+    m = F.create_map(F.lit("asr"), F.col("timestamps.asr_stop") - F.col("timestamps.asr_start"), F.lit("llm"), F.col("timestamps.llm_end") - F.col("timestamps.llm_start"), F.lit("total"), F.lit(1e9))
+    return table(spark, sf, "interactions").where("timestamps is not null").select("id", F.unix_micros("received_at").alias("received_us"), F.round(telemetry.total_seconds(m), 6).alias("seconds"))
+
+
+@query("first_audio", "SELECT CAST(received_at AS DATE) AS day, min(timestamps.app_end) AS first_end, count(*) AS n FROM interactions GROUP BY day")
+def first_audio(spark, sf):
+    return table(spark, sf, "interactions").groupBy(F.to_date("received_at").alias("day")).agg(F.min("timestamps.app_end").alias("first_end"), F.count("*").alias("n"))
+
+
+@query("epoch_ids", "SELECT DISTINCT id, make_timestamp(id * 1000) AS asked_at, strftime(make_timestamp(id * 1000), '%Y-%m-%d') AS day FROM interactions")
+def epoch_ids(spark, sf):
+    at = F.timestamp_millis("id")
+    return table(spark, sf, "interactions").select("id").distinct().select("id", at.cast("timestamp_ntz").alias("asked_at"), F.date_format(at, "yyyy-MM-dd").alias("day"))
+
+
+@query("push_to_talk_sessions", "WITH s AS (SELECT user_id, ts, sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session FROM events) SELECT user_id, CAST(session AS BIGINT) AS session, count(*) AS n, CAST(epoch_us(max(ts)) - epoch_us(min(ts)) AS BIGINT) AS micros FROM s GROUP BY ALL")
+def push_to_talk_sessions(spark, sf):
+    s = telemetry.sessions(table(spark, sf, "events"), "user_id", "ts", F.col("event_type") == "click", ("event_id",))
+    return s.groupBy("user_id", "session").agg(F.count("*").alias("n"), (F.max(F.unix_micros(F.col("ts").cast("timestamp"))) - F.min(F.unix_micros(F.col("ts").cast("timestamp")))).alias("micros"))
+
+
+def _events(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query("debounce_lag", "WITH l AS (SELECT *, lag(event_type) OVER w AS b, epoch_us(ts) - epoch_us(lag(ts) OVER w) AS gap FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) SELECT event_id FROM l WHERE b IS NULL OR (b <> event_type AND gap > 3600000000)")
+def debounce_lag(spark, sf):
+    return telemetry.changes(_events(spark, sf), "user_id", "ts", "event_type", ("event_id",), 3600.0).select("event_id")
+
+
+@query("periodic_gauge", "SELECT time_bucket(INTERVAL '1 hour', ts) AS start, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY start")
+def periodic_gauge(spark, sf):
+    g = _events(spark, sf).groupBy(F.window("ts", "1 hour")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"))
+    return g.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "n", "mean")
+
+
+@query("status_histogram", "SELECT CASE WHEN event_type = 'error' THEN 'FAIL' WHEN value > 50 THEN 'WARN' WHEN value IS NULL THEN 'SKIP' ELSE 'PASS' END AS status, count(*) AS n FROM events GROUP BY status")
+def status_histogram(spark, sf):
+    status = F.when(F.col("event_type") == "error", "FAIL").when(F.col("value") > 50, "WARN").when(F.col("value").isNull(), "SKIP").otherwise("PASS")
+    return table(spark, sf, "events").groupBy(status.alias("status")).agg(F.count("*").alias("n"))
+
+
+@query("any_failure", "SELECT user_id, bool_or(event_type = 'error') AS failed, CAST(count_if(event_type = 'error') AS BIGINT) AS errors FROM events GROUP BY user_id")
+def any_failure(spark, sf):
+    bad = F.col("event_type") == "error"
+    return table(spark, sf, "events").groupBy("user_id").agg(F.bool_or(bad).alias("failed"), F.count_if(bad).alias("errors"))
+
+
+@query("json_props", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def json_props(spark, sf):
+    return table(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"))
+
+
+@query("latest_per_key", "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
+def latest_per_key(spark, sf):
+    return telemetry.latest_per_key(table(spark, sf, "events"), "user_id", ("ts", "event_id"), "event_type").drop("ts")
+
+
+@query("request_response_interval_join", "WITH r AS (SELECT q.event_id AS request_id, a.event_id AS response_id, a.ts AS t FROM events q JOIN events a ON q.user_id = a.user_id AND q.event_type = 'click' AND a.event_type = 'purchase' AND a.ts >= q.ts AND epoch_us(a.ts) - epoch_us(q.ts) <= 7200000000) SELECT request_id, response_id FROM r QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY t, response_id) = 1")
+def request_response_interval_join(spark, sf):
+    e = _events(spark, sf)
+    asked = e.where("event_type = 'click'").select("user_id", "ts", F.col("event_id").alias("request_id"))
+    got = e.where("event_type = 'purchase'").select("user_id", "ts", F.col("event_id").alias("response_id"))
+    return telemetry.correlated(asked, got, "user_id", "ts", 7200)
+
+
+BOXES = [("ASR en", 0, 0, 80, 600), ("ASR hi", 80, 0, 80, 600), ("TTS en", 0, 600, 160, 700), ("Reset", 40, 500, 30, 400)]
+
+
+@query("range_hit_test", "WITH b(label, x0, y0, w, h) AS (VALUES " + ", ".join(f"({q(n)}, {a}, {b}, {c}, {d})" for n, a, b, c, d in BOXES) + ") SELECT p_partkey AS point_id, label FROM part, b WHERE p_size * 4 >= x0 AND p_size * 4 < x0 + w AND p_retailprice >= y0 AND p_retailprice < y0 + h")
+def range_hit_test(spark, sf):
+    points = table(spark, sf, "part").select(F.col("p_partkey").alias("point_id"), (F.col("p_size") * 4).alias("x"), F.col("p_retailprice").alias("y"))
+    return telemetry.hit_test(points, spark.createDataFrame(BOXES, "label string, x0 int, y0 int, w int, h int"))
+
+
+_KV = ("lang=hi", "url=http://x/?a=b", "empty=")
+
+
+@query("settings_overlay", "SELECT * FROM (VALUES ('lang', 'hi'), ('mode', 'demo'), ('url', 'http://x/?a=b'), ('empty', ''), ('volume', '7')) v(k, v)")
+def settings_overlay(spark, sf):
+    """Defaults, a settings file and ``k=v`` arguments, the later ones winning."""
+    defaults, stored = F.expr("map('lang', 'en', 'mode', 'live', 'volume', '7')"), F.from_json(F.lit('{"mode": "demo", "lang": "ta"}'), "map<string,string>")
+    given = F.map_from_entries(F.array(*[telemetry.key_value(F.lit(x)) for x in _KV]))
+    return spark.range(1).select(F.explode(telemetry.overlay(defaults, stored, given)).alias("k", "v"))
+
+
+_MESSAGES = ("BT0", "BT1", "BA1", "dOK", "CASR hi", "CReset", "x")
+_UI = ("ASR Hi", "TTS EN", "MODE Demo", "Reset")
+
+
+@query("event_routing", "SELECT * FROM (VALUES ('BT0', 'trigger_down'), ('BT1', 'trigger_up'), ('BA1', 'button'), ('dOK', 'ready'), ('CASR hi', 'command'), ('CReset', 'command'), ('x', 'other')) v(message, route)")
+def event_routing(spark, sf):
+    return spark.createDataFrame([(m,) for m in _MESSAGES], "message string").withColumn("route", telemetry.routed(F.col("message")))
+
+
+@query("interface_settings", "SELECT * FROM (VALUES ('ASR Hi', 'asr_language', 'hi'), ('TTS EN', 'tts_language', 'en'), ('MODE Demo', 'mode', 'demo')) v(message, setting, value)")
+def interface_settings(spark, sf):
+    d = spark.createDataFrame([(m,) for m in _UI], "message string").withColumn("s", telemetry.setting_of(F.col("message")))
+    return d.where("s is not null").select("message", "s.setting", "s.value")
+
+
+@query("serial_framing", "SELECT CAST(row_number() OVER () AS INTEGER) - 1 AS pos, m AS message FROM (SELECT unnest(['BT0', 'BT1', 'dOK']) AS m)")
+def serial_framing(spark, sf):
+    raw = spark.createDataFrame([("BT0\r\n\r BT1 \ndOK\r",)], "buffer string")
+    kept = F.filter(F.transform(F.split("buffer", r"[\r\n]"), T.trimmed), lambda m: m != "")
+    return raw.select(F.posexplode(kept).alias("pos", "message"))
+
+
+@query("phase_bucket", "SELECT event_id, CAST(floor((value - 3.0 * floor(value / 3.0)) / 0.75) AS INTEGER) AS phase FROM events")
+def phase_bucket(spark, sf):
+    return table(spark, sf, "events").select("event_id", S.phase(F.col("value")).alias("phase"))
+
+
+@query("disk_status", "SELECT s_suppkey, CASE WHEN s_acctbal / 1000 > 2 THEN 'PASS' ELSE 'WARN' END AS status, round(s_acctbal / 1048576, 9) AS mb FROM supplier")
+def disk_status(spark, sf):
+    return table(spark, sf, "supplier").select("s_suppkey", telemetry.status_of(F.col("s_acctbal") / 1000).alias("status"), F.round(F.col("s_acctbal") / 1048576, 9).alias("mb"))
+
+
+_DEVICES = ("bcm2835 Headphones", "USB Audio Device (hw:2,0)", "HDMI (hw:1,3)", "USB Camera (hw:4,0)")
+
+
+@query("device_lookup", "SELECT 1 AS device_idx, 2 AS card")
+def device_lookup(spark, sf):
+    """The first device whose name has a part, and its card number."""
+    d = spark.createDataFrame(list(enumerate(_DEVICES)), "i int, name string").where(F.col("name").contains("USB"))
+    return d.agg(F.min("i").alias("device_idx"), F.min_by(F.regexp_extract("name", r"hw:(\d+)", 1).cast("int"), "i").alias("card"))
+
+
+@query("hardware_probe", "SELECT * FROM (VALUES ('AABB01', 'handheld'), ('CC00', 'desk'), ('00', 'none')) v(id, board)")
+def hardware_probe(spark, sf):
+    raw = spark.createDataFrame([("AABB01",), ("CC00",), ("00",)], "id string").withColumn("b", F.unhex("id"))
+    return raw.select("id", F.when(F.startswith("b", F.unhex(F.lit("AABB"))), "handheld").when(F.startswith("b", F.unhex(F.lit("CC"))), "desk").otherwise("none").alias("board"))
+
+
+@query("first_address", "SELECT * FROM (VALUES (1, '100.64.0.1'), (2, 'fe80::1'), (3, NULL)) v(host, address)")
+def first_address(spark, sf):
+    raw = spark.createDataFrame([(1, ["fe80::1", "100.64.0.1", "10.0.0.1"]), (2, ["fe80::1"]), (3, [])], "host int, ips array<string>")
+    return raw.select("host", telemetry.first_ipv4(F.col("ips")).alias("address"))
+
+
+# ---- samples ----------------------------------------------------------------------------------
+_PCM_SQL = "pcm AS (SELECT user_id, list(CAST(round(value * 37) AS INTEGER) % 30000 ORDER BY event_id) AS s FROM events GROUP BY user_id)"
+
+
+def pcm(spark: SparkSession, sf: str) -> DataFrame:
+    """One clip of samples for each user, in order of events."""
+    e = table(spark, sf, "events").select("user_id", "event_id", (F.round(F.col("value") * 37).cast("int") % 30000).cast("smallint").alias("x"))
+    return e.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "x"))).alias("l")).select("user_id", F.transform("l", lambda r: r["x"]).alias("s"))
+
+
+@query("pcm_gain", f"WITH {_PCM_SQL} SELECT user_id, CAST(list_max(list_transform(s, lambda x: abs(x))) AS INTEGER) AS peak, CAST(list_sum(list_transform(s, lambda x: CAST(trunc(greatest(least(x * CASE WHEN list_max(list_transform(s, lambda y: abs(y))) > 0 THEN 32768.0::DOUBLE / list_max(list_transform(s, lambda y: abs(y))) * 1.2::DOUBLE ELSE 1.0 END, 32767.0), -32768.0)) AS BIGINT))) AS BIGINT) AS total FROM pcm")
+def pcm_gain(spark, sf):
+    loud = S.amplified(F.col("s"))
+    return pcm(spark, sf).select("user_id", S.peak(F.col("s")).alias("peak"), F.aggregate(loud, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total"))
+
+
+@query("pcm_rms", f"WITH {_PCM_SQL} SELECT user_id, round(sqrt(list_sum(list_transform(s, lambda x: CAST(x AS DOUBLE) * x)) / len(s)), 6) AS rms, round(len(s) * 2 / 2.0 / 16000, 6) AS seconds, sqrt(list_sum(list_transform(s, lambda x: CAST(x AS DOUBLE) * x)) / len(s)) > 100 AS loud FROM pcm")
+def pcm_rms(spark, sf):
+    r = S.rms(F.col("s"))
+    return pcm(spark, sf).select("user_id", F.round(r, 6).alias("rms"), F.round(S.duration_s(F.size("s") * 2, F.lit(2), F.lit(1), F.lit(16000)), 6).alias("seconds"), (r > 100).alias("loud"))
+
+
+@query("sine_tone", f"SELECT CAST(i AS INTEGER) AS i, CAST(trunc(12000 * sin(i * ({2 * math.pi * 440.0 / 16000}::DOUBLE))) AS INTEGER) AS x FROM range(0, 1600) t(i)")
+def sine_tone(spark, sf):
+    return spark.range(1).select(F.posexplode(S.sine(F.lit(1600))).alias("i", "x")).withColumn("x", F.col("x").cast("int"))
+
+
+@query("rgb_pack", "SELECT p_partkey, CAST((p_size << 16) | ((p_partkey % 256) << 8) | 7 AS BIGINT) AS rgb FROM part")
+def rgb_pack(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", S.packed_rgb(F.col("p_size").cast("bigint"), F.col("p_partkey") % 256, F.lit(7).cast("bigint")).alias("rgb"))
+
+
+# ---- round trips and streams ------------------------------------------------------------------
+@query("index_roundtrip", f"WITH {FIT_SQL} SELECT (SELECT count(*) FROM chunks) AS chunks, (SELECT count(*) FROM vocab) AS terms, (SELECT count(*) FROM raw) AS postings, CAST(0 AS BIGINT) AS changed")
+def index_roundtrip(spark, sf):
+    """An index written and read again: chunks, vocabulary, vectors, manifest."""
+    chunks = table(spark, sf, "chunks")
+    c, v = counts(spark, sf)
+    ids = settle(tfidf.with_ids(v))
+    posted = tfidf.postings(c, v, "chunk_id")
+    path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    fields = [f.split()[0] for f in files.CHUNK.split(", ")]
+    manifest = files.build_manifest(chunks, "tfidf", "tfidf", ids.count(), 120, 25, "all", GATE)
+    files.write_index(path, chunks.select(fields), ids, posted, manifest)
+    back = files.read_chunks(spark, f"{path}/chunks")
+    terms = spark.read.parquet(f"{path}/vocabulary")
+    changed = ids.exceptAll(terms).count() + chunks.select(fields).fillna("").exceptAll(back.select(fields).fillna("")).count()
+    return back.agg(F.count("*").alias("chunks")).crossJoin(terms.agg(F.count("*").alias("terms"))).crossJoin(spark.read.parquet(f"{path}/vectors").agg(F.count("*").alias("postings"))).withColumn("changed", F.lit(changed).cast("bigint"))
+
+
+@query("wav_roundtrip", "SELECT count(DISTINCT user_id) AS clips, count(DISTINCT user_id) AS same FROM events")
+def wav_roundtrip(spark, sf):
+    """Samples to WAV and back."""
+    hexed = F.array_join(F.transform("s", lambda x: F.concat(F.lpad(F.hex(F.pmod(x, F.lit(256))), 2, "0"), F.lpad(F.hex(F.pmod(F.shiftright(x.cast("int"), 8), F.lit(256))), 2, "0"))), "")
+    clips = pcm(spark, sf).select("user_id", "s", F.unhex(hexed).alias("pcm"))
+    back = clips.withColumn("clip", files.wav_decoded(files.wav_encoded("pcm", F.lit(16000), F.lit(2), F.lit(1))))
+    heard = files.recorded(back).withColumn("t", files.pcm_samples("pcm"))
+    return heard.agg(F.count("*").alias("clips"), F.count_if(F.col("t") == F.col("s")).alias("same"))
+
+
+def _streamed(spark: SparkSession, rows: DataFrame, op, schema: str, name: str) -> DataFrame:
+    """Run a stream operator over rows written as files, one for each batch, and read what it wrote."""
+    base = f"{shared_dir(spark)}/stream-{name}-{uuid.uuid4().hex}"
+    # One file after the other: a file stream takes them in the order in which they were written.
+    low, high = rows.approxQuantile("seq", [1 / 3, 2 / 3], 0.01) or (0.0, 0.0)
+    for part in (F.col("seq") <= low, (F.col("seq") > low) & (F.col("seq") <= high), F.col("seq") > high):
+        rows.where(part).coalesce(1).sortWithinPartitions("seq").write.mode("append").parquet(f"{base}/in")
+    src = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    run = op(src).writeStream.outputMode("append").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).format("parquet").option("path", f"{base}/out").start()
+    run.awaitTermination()
+    return spark.read.schema(schema).parquet(f"{base}/out")
+
+
+def _pieces(spark: SparkSession, sf: str) -> DataFrame:
+    """Generated answers cut in the middle, with an end row, as a stream brings them."""
+    a = responses(spark, sf).where("r.answer_en <> ''").groupBy("id").agg(F.max("r.answer_en").alias("t"))
+    cut = F.array(F.struct(F.lit(0).alias("seq"), F.expr("substring(t, 1, 20)").alias("chunk"), F.lit(False).alias("eos")), F.struct(F.lit(1).alias("seq"), F.expr("substring(t, 21, 100000)").alias("chunk"), F.lit(False).alias("eos")), F.struct(F.lit(2).alias("seq"), F.lit("").alias("chunk"), F.lit(True).alias("eos")))
+    return a.select(F.col("id").cast("string").alias("stream_id"), F.inline(cut))
+
+
+@query("stream_sentences", f"WITH a AS (SELECT CAST(id AS VARCHAR) AS stream_id, max(json_extract_string(response, '$.answer_en')) AS t FROM interactions WHERE response IS NOT NULL AND response <> '' AND json_valid(response) AND json_extract_string(response, '$.answer_en') <> '' GROUP BY id), s AS (SELECT stream_id, list_filter(list_transform(regexp_extract_all(t, {q(T.SENTENCE)}), lambda x: {trim_sql('x')}), lambda x: x <> '') AS l FROM a) SELECT stream_id, CAST(i - 1 AS INTEGER) AS \"index\", l[i] AS text FROM s, LATERAL (SELECT unnest(range(1, len(l) + 1)) AS i)")
+def stream_sentences(spark, sf):
+    return _streamed(spark, _pieces(spark, sf), streams.sentences, "stream_id string, index int, text string", "sentences")
+
+
+@query("stream_framing", "WITH s AS (SELECT CAST(user_id % 8 AS VARCHAR) AS stream_id, string_agg(event_type || CASE WHEN event_id % 3 = 0 THEN chr(10) ELSE '' END, '' ORDER BY event_id) AS t FROM events GROUP BY 1), p AS (SELECT stream_id, string_split(t, chr(10)) AS l FROM s) SELECT stream_id, CAST(i - 1 AS INTEGER) AS \"index\", l[i] AS text FROM p, LATERAL (SELECT unnest(range(1, len(l))) AS i)")
+def stream_framing(spark, sf):
+    rows = table(spark, sf, "events").select((F.col("user_id") % 8).cast("string").alias("stream_id"), F.col("event_id").cast("int").alias("seq"), F.concat(F.col("event_type"), F.when(F.col("event_id") % 3 == 0, "\r\n").otherwise("")).alias("chunk"), F.lit(False).alias("eos"))
+    return _streamed(spark, rows, streams.frames, "stream_id string, index int, text string", "frames")
+
+
+@query("stream_debounce")
+def stream_debounce(spark, sf):
+    rows = _events(spark, sf).select(F.col("user_id").cast("string").alias("key"), F.unix_micros("ts").alias("seq"), (F.unix_micros("ts") / 1e6).alias("at"), F.col("event_type").alias("value"))
+    return _streamed(spark, rows, lambda s: streams.debounced(s, 3600.0), "key string, at double, value string", "debounce")

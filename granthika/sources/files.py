@@ -7,6 +7,7 @@ import wave
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CHUNK = "text STRING, content_id STRING, chapter STRING, section STRING, page INT, source STRING, license STRING, chunk_index INT"
 CORPUS = (
@@ -17,6 +18,9 @@ MANIFEST = "embedder STRING, embedder_backend STRING, dim INT, num_chunks BIGINT
 INTERACTION = "id BIGINT, query STRUCT<text STRING>, response STRING, timestamps STRUCT<audio_start DOUBLE, audio_stop DOUBLE, asr_start DOUBLE, asr_stop DOUBLE, nmt_a_stop DOUBLE, llm_start DOUBLE, llm_end DOUBLE, nmt_b_stop DOUBLE, app_end DOUBLE>"
 
 
+_CLIP = T.StructType([T.StructField("pcm", T.BinaryType()), *(T.StructField(c, T.IntegerType()) for c in ("sample_rate", "sample_width", "channels")), T.StructField("error", T.StringType())])
+
+
 def read_corpus(spark: SparkSession, path: str, default_source: str = "") -> DataFrame:
     """Documents of a corpus file, with the collection's fields where their own are missing."""
     raw = spark.read.schema(CORPUS).option("multiLine", True).json(path).select("collection", F.explode("documents").alias("d"))
@@ -74,7 +78,7 @@ def append_log(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 
 
-@F.udf("struct<pcm:binary, sample_rate:int, sample_width:int, channels:int, error:string>")
+@F.udf(_CLIP)
 def wav_decoded(data: bytes | None):
     """Frames and header of a WAV file; what is none gives an error instead of failing the job."""
     if data is None:
@@ -86,7 +90,7 @@ def wav_decoded(data: bytes | None):
         return None, None, None, None, str(e) or "no WAV file"
 
 
-@F.udf("binary")
+@F.udf(T.BinaryType())
 def wav_encoded(pcm: bytes | None, rate: int, width: int, channels: int):
     if pcm is None:
         return None
@@ -99,7 +103,7 @@ def wav_encoded(pcm: bytes | None, rate: int, width: int, channels: int):
     return out.getvalue()
 
 
-@F.udf("array<smallint>")
+@F.udf(T.ArrayType(T.ShortType()))
 def pcm_samples(pcm: bytes | None):
     import array
 
