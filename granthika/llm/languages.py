@@ -291,7 +291,7 @@ def document_languages(docs: DataFrame, model: ByteTagger, id_col: str = "chapte
     """
     kind = dict(docs.dtypes)[id_col]
 
-    def read(ids: list, texts: list[bytes]) -> pd.DataFrame:
+    def read(ids: list, texts: list[bytes]) -> Iterator[pd.DataFrame]:
         rows = []
         for i, t, p in zip(ids, texts, model.read(texts), strict=True):
             langs, parts = languages_of(t, p)
@@ -299,7 +299,8 @@ def document_languages(docs: DataFrame, model: ByteTagger, id_col: str = "chapte
                 rows += [(i, model.langs[k], w, c, n, a, b) for n, (a, b, k, w, c) in enumerate(parts, 1)]
             else:
                 rows += [(i, model.langs[k], w, c, len(langs)) for k, w, c in langs]
-        return pd.DataFrame(rows, columns=[id_col, "lang", "words", "confidence", *(["passage", "start", "end"] if by_passage else ["languages"])])
+        if rows:
+            yield pd.DataFrame(rows, columns=[id_col, "lang", "words", "confidence", *(["passage", "start", "end"] if by_passage else ["languages"])])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids: list = []
@@ -312,10 +313,10 @@ def document_languages(docs: DataFrame, model: ByteTagger, id_col: str = "chapte
                     texts.append(clean(t))
                     held += len(texts[-1])
                     if held >= READ_BYTES:
-                        yield read(ids, texts)
+                        yield from read(ids, texts)
                         ids, texts, held = [], [], 0
         if ids:
-            yield read(ids, texts)
+            yield from read(ids, texts)
 
     rest = ", passage int, start int, end int" if by_passage else ", languages int"
     return docs.select(id_col, text).mapInPandas(run, f"`{id_col}` {kind}, lang string, words int, confidence double{rest}")

@@ -204,7 +204,8 @@ def reading_levels(documents: DataFrame, level_samples: DataFrame, common_words:
                     continue
                 level, score = model.level(reader, text)
                 rows.append((i, level, score, n))
-            yield pd.DataFrame(rows, columns=["doc_id", "level", "score", "n_words"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["doc_id", "level", "score", "n_words"])
 
     return documents.where("text is not null").select("doc_id", "lang", "text").mapInPandas(run, "doc_id bigint, level bigint, score double, n_words bigint")
 

@@ -147,7 +147,8 @@ def slots(spark, rows: pd.DataFrame, block_tokens: int = BLOCK_TOKENS, shard_blo
             for s in pdf["id"]:
                 n = min(shard_blocks, total - int(s) * shard_blocks)
                 counts = np.random.default_rng([seed, int(s)]).multinomial(n, p) if len(p) else np.zeros(0, int)
-                yield pd.DataFrame({"shard": int(s), "bucket": int(s) // 4096, "source": names, "n": counts})
+                if len(p):
+                    yield pd.DataFrame({"shard": int(s), "bucket": int(s) // 4096, "source": names, "n": counts})
 
     counts = spark.range(0, shards, 1, min(shards, max(1, shards // 64))).mapInPandas(draw, "shard bigint, bucket bigint, source string, n bigint")
     runs = _with_starts(counts, "source", "bucket", "shard", "n", "start")

@@ -99,6 +99,8 @@ def pack(items: DataFrame, capacities: list[tuple[str, int]], id_col: str = "doc
         packers = [Packer(k) for _, k in capacities]
         for pdf in batches:
             sizes = pdf[size].tolist()
+            if not sizes:
+                continue
             for (name, cap), packer in zip(capacities, packers, strict=True):
                 at, bins, piece, count, start, tokens = [], [], [], [], [], []
                 for i, s in enumerate(sizes):
@@ -130,6 +132,8 @@ def pack(items: DataFrame, capacities: list[tuple[str, int]], id_col: str = "doc
         task = TaskContext.get().partitionId()
         packers = {c: Packer(k, 10 * OPEN_BINS) for c, k in room.items()}
         for pdf in batches:
+            if not len(pdf):
+                continue
             into = [packers[c].add(int(t)) for c, t in zip(pdf["container"], pdf["tokens"], strict=True)]
             yield pd.DataFrame({"container": pdf["container"], "bin": pdf["bin"], "merged": [f"m{task}-{b}" for b in into]})
 

@@ -160,6 +160,8 @@ def vote_patterns(docs: DataFrame, text: str, common: frozenset[str], keep: list
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = WordTable(common)
         for pdf in batches:
+            if not len(pdf):
+                continue
             rows = np.array([statistics(t or "", words) for t in pdf[text]], float).reshape(len(pdf), len(STATS))
             v = votes({k: rows[:, j] for j, k in enumerate(STATS)})
             out = pdf[keep].copy()
@@ -195,12 +197,13 @@ def fit_label_model(patterns: list[tuple[str, int]], rounds: int = 100) -> dict[
         # Prior counts: a function mostly abstains or votes right; they steady the tables of rare types.
         table = np.einsum("p,pt,pmd->tmd", n, q, hot) + prior_counts
         table /= table.sum(2, keepdims=True)
-        score = np.log(prior) + np.einsum("pmd,tmd->pt", hot, np.log(table)) * min(1.0, 6.0 / m)
+        score = np.log(prior) + np.einsum("pmd,tmd->pt", hot, np.log(table))
         new = np.exp(score - score.max(1, keepdims=True))
         new /= new.sum(1, keepdims=True)
         if np.abs(new - q).max() < 1e-6:
             break
         q = new
+    q[(v == 0).all(1)] = (n @ q + 1) / (n.sum() + k)  # Without a vote the prior holds.
     return {p: tuple(map(float, x)) for (p, _), x in zip(patterns, q, strict=True)}
 
 

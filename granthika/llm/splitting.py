@@ -124,6 +124,8 @@ def split_oversized(df: DataFrame, text: str, limit: str, overlap: str, piece: s
                     parts.append(t[spans[a][0] : spans[b - 1][1]])
                     sizes.append(b - a)
                     numbers.append(no)
+            if not take:
+                continue
             out = pdf.iloc[take].copy()
             out[text], out["piece_words"], out[piece] = parts, sizes, numbers
             yield out[names]

@@ -18,18 +18,18 @@ def chapters(spark, rows):
 
 
 def test_site_lines(spark):
-    rows = [(i, f"c{i}", None, f"first text number {i} of many words\n  {LINE.upper()}!\n\nshort", "HTTP://Site.example/x" if i % 2 else "https://site.EXAMPLE") for i in range(6)]
+    rows = [(i, f"c{i}", None, f"first text about {chr(97 + i) * 9} of many words\n  {LINE.upper()}!\n\nshort", "HTTP://Site.example/x" if i % 2 else "https://site.EXAMPLE") for i in range(6)]
     rows += [(10, None, None, LINE, "https://site.example/y"), (11, "c1", None, LINE, None), (12, "c1", None, None, "https://site.example"), (13, "c1", None, LINE, "https://elsewhere.example/"), (14, "c1", None, "", "https://site.example")]
     df = chapters(spark, rows)
     got = sorted((r.chapter_id, r.line_no) for r in sitelines.found(df).collect())
     assert got == [(i, 2) for i in range(6)] + [(10, 1)]
     own = {r.chapter_id: r.own_text for r in sitelines.mark_site_lines(df).select("chapter_id", "own_text").collect()}
-    assert own[0] == "first text number 0 of many words\n\nshort" and own[10] == "" and own[11] == LINE and own[12] is None
+    assert own[0] == "first text about aaaaaaaaa of many words\n\nshort" and own[10] == "" and own[11] == LINE and own[12] is None
     assert sitelines.found(df.limit(0)).count() == 0
 
 
 def test_site_lines_by_join(spark, monkeypatch):
-    rows = [(i, f"c{i}", None, f"text {i}\n{LINE}", "https://s.example/") for i in range(6)]
+    rows = [(i, f"c{i}", None, f"text {chr(97 + i) * 9}\n{LINE}", "https://s.example/") for i in range(6)]
     df = chapters(spark, rows)
     want = sorted(map(tuple, sitelines.found(df).collect()))
     monkeypatch.setattr(sitelines, "BROADCAST_LINES", -1)
