@@ -44,7 +44,7 @@ SLICES = 32
 #: Lower bounds of the classes of sizes.
 CLASSES = (1, 4, 15, 60, 240, 960, 3840, 15360, 61440, 245760)
 FLUSH_RUNS = 2_000_000
-BUCKET_RUNS = 3_500_000
+BUCKET_RUNS = 4_000_000
 #: So many ids at most (8 bytes each) are broadcast to fetch the texts of candidates; beyond, they are joined.
 BROADCAST_IDS = 500_000
 _M1, _M2, _P = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -166,25 +166,38 @@ def subsets_of(size: float, bound: int, threshold: float) -> float:
     return p * max(p - 1, 0) / (2 * m) if m else p
 
 
+def list_length(codes: np.ndarray, share: float) -> float:
+    """Mean length of the lists that the rarest ``share`` of all postings stand in, as the slots' counts tell."""
+    per_code = np.bincount(codes, minlength=256)[1:]
+    count = 2 ** (np.arange(255) / 12)
+    held = np.cumsum(per_code * count)
+    rare = held <= max(share * held[-1], held[np.argmax(held > 0)])
+    postings = (per_code * count)[rare].sum()
+    return float((per_code * count * count)[rare].sum() / postings) if postings else 1.0
+
+
 def choose_boundary(sizes: dict[int, int], threshold: float, list_length: float) -> int:
     """Size from which sets scan inverted lists: the cheapest over all, by expected rows and comparisons.
 
-    A subset costs 1; a posting 1.5, also of the sets that a heavy one may be similar to; a comparison
-    with a member of a list 0.1.
+    A subset costs 1; a posting 1.2, also of the sets that a heavy one may be similar to; a comparison
+    with a member of a list 0.3, and lists hold only the sets that are large enough.
     """
+
     def light(n: int, x: float) -> float:
         return sum(subsets_of(n, b, threshold) for c, b in enumerate(CLASSES) if b < x and b * threshold <= n and (c + 1 == len(CLASSES) or n < CLASSES[c + 1]))
 
     best, chosen = None, 1 << 60
+    every = max(1, sum(n * k for n, k in sizes.items()))
     for x in [*sorted({*CLASSES[2:], *(s for s in sizes if s >= 60)}), 1 << 60]:
         cost = 0.0
+        length = list_length * sum(n * k for n, k in sizes.items() if n >= threshold * x) / every
         for n, k in sizes.items():
             if n < x:
                 cost += k * light(n, x)
                 if n >= threshold * x:
-                    cost += k * 1.5 * (n - threshold * x + 1)
+                    cost += k * 1.2 * (n - threshold * x + 1)
             else:
-                cost += k * (1 - threshold) * n * (1.5 + 0.1 * list_length)
+                cost += k * (1 - threshold) * n * (1.2 + 0.3 * length)
         if best is None or cost < best:
             best, chosen = cost, x
     return chosen
@@ -207,9 +220,10 @@ def _second_pass(width: int, min_words: int, threshold: float, codes, heavy: int
     """Subsets and postings of all records as packed arrays: (bucket, class, blob)."""
 
     def blobs(c: int, sig: np.ndarray, doc: np.ndarray, keys: np.ndarray, sizes: np.ndarray, maps: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
-        bucket = ((sig >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
-        low = sig & np.uint64((1 << 40) - 1)
-        o = np.argsort(bucket.astype(np.uint64) << np.uint64(40) | low)
+        # 32 bits tell the subsets of a bucket apart but for a few, which the bitmaps then reject.
+        bucket = ((sig >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+        low = sig & np.uint64((1 << 32) - 1)
+        o = np.argsort(bucket.astype(np.uint64) << np.uint64(32) | low)
         bucket, low, doc = bucket[o], low[o], doc[o]
         ends = np.searchsorted(bucket, np.arange(buckets + 1))
         for b in range(buckets):
@@ -220,9 +234,9 @@ def _second_pass(width: int, min_words: int, threshold: float, codes, heavy: int
             value = low[s]
             step = np.diff(value, prepend=np.uint64(0))
             head = np.array([len(used), len(value), maps.shape[1]], np.int64).tobytes()
-            # Steps above 32 bits are rare: they are kept whole in a list of their own.
-            wide = np.flatnonzero(step >= np.uint64(1 << 32))
-            body = [head, np.array([len(wide)], np.int64).tobytes(), wide.astype(np.int64).tobytes(), step[wide].tobytes(), keys[used].tobytes(), sizes[used].astype(np.int32).tobytes(), maps[used].tobytes(), (step & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), at.astype(np.uint16).tobytes()]
+            # Steps above 16 bits are rare: they are kept whole in a list of their own.
+            wide = np.flatnonzero(step >= np.uint64(1 << 16))
+            body = [head, np.array([len(wide)], np.int64).tobytes(), wide.astype(np.uint32).tobytes(), step[wide].astype(np.uint32).tobytes(), keys[used].tobytes(), sizes[used].astype(np.int32).tobytes(), maps[used].tobytes(), (step & np.uint64(0xFFFF)).astype(np.uint16).tobytes(), at.astype(np.uint16).tobytes()]
             yield b, c, b"".join(body)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,9 +308,9 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
         p += x.nbytes
         return x
 
-    where, big = take(np.int64, wide), take(np.uint64, wide)
+    where, big = take(np.uint32, wide), take(np.uint32, wide)
     keys, sizes, maps = take(np.int64, docs), take(np.int32, docs), take(np.uint64, docs * words).reshape(docs, words)
-    step, at = take(np.uint32, sigs).astype(np.uint64), take(np.uint16, sigs)
+    step, at = take(np.uint16, sigs).astype(np.uint64), take(np.uint16, sigs)
     step[where] = big
     return np.cumsum(step), at.astype(np.int64), keys, sizes, maps
 
@@ -418,8 +432,7 @@ def near_duplicates(records: DataFrame, id_col: str, text: str, shingle: int = 5
     histogram = members.groupBy(F.floor(F.log(F.greatest(F.col("n_words"), F.lit(1))) * 8).alias("step")).agg(F.count("*").alias("n"), F.sum(F.col("n_words").cast("bigint")).alias("words")).collect()
     sizes = {max(1, int(r.words / r.n)): r.n for r in histogram}
     total = sum(r.words for r in histogram)
-    rare = codes[codes > 1]
-    length = float(2 ** ((np.median(rare) - 1) / 12)) if len(rare) else 1.0
+    length = list_length(codes, 1 - threshold)
     heavy = choose_boundary(sizes, threshold, length) if heavy is None else heavy
     buckets = max(1, -(-total // BUCKET_RUNS))
     packed = docs.mapInArrow(_second_pass(shingle, min_words, threshold, shared, heavy, buckets), "bucket int, class int, blob binary")
@@ -454,7 +467,9 @@ def _verified(docs: DataFrame, members: DataFrame, candidates: DataFrame, shingl
                 common.append(n)
                 union.append(len(a) + len(b) - n)
             out = pdf[["key_a", "key_b"]].assign(common=common, similarity=np.array(common, float) / np.maximum(np.array(union, float), 1))
-            yield out[np.array(common) >= threshold * np.array(union) - 1e-9]
+            out = out[np.array(common) >= threshold * np.array(union) - 1e-9]
+            if len(out):
+                yield out
 
     # Equal ids may carry other texts: the key decides, and one row per key remains.
     runs = settle(texts.mapInArrow(sets, "key bigint, runs binary").join(F.broadcast(chosen.select("key")) if few else chosen.select("key"), "key", "left_semi").dropDuplicates(["key"]))

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from granthika.llm import neardup as N
@@ -64,6 +65,8 @@ def test_components_of_a_chain(spark):
 
 
 def test_boundary_follows_cost():
-    few_large = N.choose_boundary({100: 100_000, 5000: 3}, 0.6, 3.0)
-    assert 100 < few_large <= 5000
+    sizes = {100: 100_000, 5000: 3}
+    assert N.choose_boundary(sizes, 0.6, 500.0) > 100
+    assert N.choose_boundary(sizes, 0.6, 1.0) <= 100
     assert N.choose_boundary({100: 1000}, 0.6, 10_000.0) > 100
+    assert N.list_length(np.array([1, 1, 13, 25], np.uint8), 1.0) == (1 + 1 + 4 + 16) / (1 + 1 + 2 + 4)
