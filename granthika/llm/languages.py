@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-HIDDEN = 8
+HIDDEN = 6
 WINDOW = 128
 #: Bytes that a step of the network reads.
 STRIDE = 2
@@ -36,7 +36,7 @@ MIN_WORDS = 20
 READ_BYTES = 6_000_000
 # Labels that name no language.
 PLACEHOLDERS = ("", "-", "--", "n/a", "na", "none", "null", "unknown", "undefined", "?", "other")
-_ENDS = re.compile(rb"(?:\x0b+|[.!?]+[\"')\]]*\s+|\xe0\xa5\xa4[\"')\]|]*\s*|\|\s+|\n\s*\n)")
+_ENDS = re.compile(rb"\x0b+|[.!?]+[\"')\]]*\s+|\xe0\xa5\xa4[\"')\]|]*\s*|\|\s+|\n\s*\n")
 
 
 def clean(text: str) -> bytes:
@@ -86,20 +86,21 @@ class ByteTagger:
         new *= 0.5
         return new, z, r, n, qn
 
-    def probabilities(self, x: np.ndarray) -> np.ndarray:
-        """P(language) of every step for bytes x (steps, STRIDE, B): (steps, languages, B)."""
-        t, _, b = x.shape
+    def pair_tables(self) -> np.ndarray:
+        """The gates' inputs of every pair of bytes, (2 directions, 3H, 65536)."""
+        return np.ascontiguousarray((self.table[:, 0, :, :, None] + self.table[:, 1, :, None, :]).reshape(2, 3 * self.hidden, 65536))
+
+    def probabilities(self, x: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+        """P(language) of every step for pairs of bytes x (steps, B), each 256 * first + second: (steps, languages, B)."""
+        t, b = x.shape
         k = self.hidden
         h = np.zeros((2, k, b), np.float32)
         p = np.zeros((t, len(self.langs), b), np.float32)
-        a, more = np.empty((2, 3 * k, b), np.float32), np.empty((3 * k, b), np.float32)
+        a = np.empty((2, 3 * k, b), np.float32)
         out, wf, wb = np.empty((len(self.langs), b), np.float32), self.out[:, :k].copy(), self.out[:, k:].copy()
         for i in range(t):
-            for d, at in ((0, x[i]), (1, x[t - 1 - i])):
-                np.take(self.table[d, 0], at[0], axis=1, out=a[d], mode="clip")
-                for s in range(1, STRIDE):
-                    np.take(self.table[d, s], at[s], axis=1, out=more, mode="clip")
-                    a[d] += more
+            np.take(pairs[0], x[i], axis=1, out=a[0], mode="clip")
+            np.take(pairs[1], x[t - 1 - i], axis=1, out=a[1], mode="clip")
             h = self._cell(a, h)[0]
             np.matmul(wf, h[0], out=out)
             p[i] += out
@@ -190,23 +191,29 @@ class ByteTagger:
                 weights[i] -= (lr * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
         return self
 
-    def read(self, texts: list[bytes], at_once: int = 2048) -> list[np.ndarray]:
-        """For each text the probabilities of its steps, (bytes / STRIDE, languages)."""
-        sizes = np.array([len(t) for t in texts])
-        windows = -(-sizes // WINDOW)
+    def read_flat(self, texts: list[bytes], at_once: int = 2048) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The texts' bytes in whole windows, the place at which each text begins, and the probabilities of all steps.
+
+        A text is followed by one blank or more, which fill its last window.
+        """
+        windows = np.array([len(t) // WINDOW + 1 for t in texts], np.int64)
         first = np.concatenate([[0], np.cumsum(windows)])
-        flat = np.full((int(first[-1]), WINDOW), 32, np.uint8)
-        # Windows of a text are evenly cut, its last is filled up with blanks.
-        line = flat.reshape(-1)
+        line = np.full(int(first[-1]) * WINDOW, 32, np.uint8)
         for t, f in zip(texts, first, strict=False):
             line[f * WINDOW : f * WINDOW + len(t)] = np.frombuffer(t, np.uint8)
         steps = WINDOW // STRIDE
+        flat, pairs = line.reshape(-1, steps, STRIDE), self.pair_tables()
         p = np.empty((len(flat), steps, len(self.langs)), np.float32)
         for i in range(0, len(flat), at_once):
-            x = np.ascontiguousarray(flat[i : i + at_once].T).astype(np.intp).reshape(steps, STRIDE, -1)
-            p[i : i + at_once] = self.probabilities(x).transpose(2, 0, 1)
-        p = p.reshape(-1, len(self.langs))
-        return [p[f * steps : f * steps + -(-n // STRIDE)] for f, n in zip(first, sizes, strict=False)]
+            part = flat[i : i + at_once].astype(np.intp)
+            x = np.ascontiguousarray((part[:, :, 0] * 256 + part[:, :, 1]).T)
+            p[i : i + at_once] = self.probabilities(x, pairs).transpose(2, 0, 1)
+        return line, first[:-1] * WINDOW, p.reshape(-1, len(self.langs))
+
+    def read(self, texts: list[bytes]) -> list[np.ndarray]:
+        """For each text the probabilities of its steps, (bytes / STRIDE, languages)."""
+        _, first, p = self.read_flat(texts)
+        return [p[f // STRIDE : f // STRIDE + -(-len(t) // STRIDE)] for t, f in zip(texts, first, strict=True)]
 
 
 def _cut(text: bytes) -> list[bytes]:
@@ -219,58 +226,117 @@ def _cut(text: bytes) -> list[bytes]:
     return [x for x in out if x.strip()]
 
 
-def sentence_starts(text: bytes) -> np.ndarray:
-    """Byte offsets at which sentences begin."""
-    starts = [0, *(m.end() for m in _ENDS.finditer(text))]
-    return np.array([s for s in starts if s < len(text)], np.int64)
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_STOP = np.zeros(256, bool)
+_STOP[[33, 46, 63, 124]] = True
+_CLOSE = np.zeros(256, bool)
+_CLOSE[[34, 39, 41, 93]] = True
 
 
-def passages(text: bytes, p: np.ndarray, least: int = 4) -> list[tuple[int, int, int, int, float]]:
-    """Passages as (start, end, language, words, confidence).
+def sentences_in(line: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sentences of all texts in ``line`` at once: where they begin, their words, and their text's number.
+
+    A sentence ends with a stop (and a closing sign) before white space, with a danda, with a vertical
+    tab (which ``clean`` puts after headings), or with white space that begins and ends with a line end.
+    """
+    space = _SPACE[line]
+    begin = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
+    end = np.flatnonzero(~space & np.concatenate([space[1:], [True]]))
+    if not len(begin):
+        return begin, begin, begin
+    last = line[end]
+    closed = _CLOSE[last]
+    core = np.where(closed & (end > 0), line[end - 1], last)
+    at = np.where(closed, end - 1, end)
+    danda = (core == 0xA4) & (line[at - 1] == 0xA5) & (line[at - 2] == 0xE0)
+    stop = _STOP[core] | danda
+    gap_head, gap_tail = line[np.minimum(end + 1, len(line) - 1)], line[begin - 1]
+    heading = (gap_head[:-1] == 11) | (gap_tail[1:] == 11)
+    blank = (gap_head[:-1] == 10) & (gap_tail[1:] == 10) & (begin[1:] - end[:-1] > 2)
+    new = np.concatenate([[True], stop[:-1] | heading | blank])
+    text = np.searchsorted(first, begin, side="right") - 1
+    new[1:] |= text[1:] != text[:-1]
+    k = np.flatnonzero(new)
+    return begin[k], np.diff(np.append(k, len(begin))), text[k]
+
+
+def passages(starts: np.ndarray, words: np.ndarray, size: int, p: np.ndarray, least: int = 4) -> list[tuple[int, int, int, int, float]]:
+    """Passages of a text of ``size`` bytes as (start, end, language, words, confidence).
 
     A sentence of fewer than ``least`` words goes with the passage before it, as does one whose language has less than two
     thirds of it (half, from twice ``least`` words on).
     """
-    starts = sentence_starts(text)
     if not len(starts):
         return []
-    ends = np.append(starts[1:], len(text))
-    at = np.minimum(starts // STRIDE, len(p) - 1)
-    sums = np.add.reduceat(p, at, axis=0)
+    starts = np.concatenate([[0], starts[1:]])
+    ends = np.append(starts[1:], size)
+    sums = np.add.reduceat(p, starts // STRIDE, axis=0)
     means = sums / sums.sum(1, keepdims=True)
-    best = means.argmax(1)
-    sure = means.max(1)
-    words = np.array([len(text[a:b].split()) for a, b in zip(starts, ends, strict=True)])
+    best, sure = means.argmax(1), means.max(1)
     steady = (words >= least) & (sure >= np.where(words >= 2 * least, 0.5, 0.67))
     if steady.any():
-        whole = int(np.bincount(best[steady], weights=words[steady]).argmax())
+        last = int(np.bincount(best[steady], weights=words[steady]).argmax())
     else:
-        whole = int((means * (ends - starts)[:, None]).sum(0).argmax())
+        last = int(sums.sum(0).argmax())
     out: list[list] = []
-    last = whole
-    for a, b, k, w, ok in zip(starts, ends, best, words, steady, strict=True):
-        k = int(k) if ok else last
-        if out and out[-1][2] == k:
-            out[-1][1] = int(b)
-            out[-1][3] += int(w)
+    for a, b, k, w, ok in zip(starts.tolist(), ends.tolist(), best.tolist(), words.tolist(), steady.tolist(), strict=True):
+        last = k if ok else last
+        if out and out[-1][2] == last:
+            out[-1][1] = b
+            out[-1][3] += w
         else:
-            out.append([int(a), int(b), k, int(w)])
-        last = k
+            out.append([a, b, last, w])
     return [(a, b, k, w, float(p[a // STRIDE : -(-b // STRIDE), k].mean())) for a, b, k, w in out]
 
 
-def languages_of(text: bytes, p: np.ndarray, min_words: int = MIN_WORDS) -> tuple[list[tuple[int, int, float]], list[tuple[int, int, int, int, float]]]:
-    """Languages of a text as (language, words, confidence), the main one first, and its passages.
+def languages_of(parts: list[tuple[int, int, int, int, float]], min_words: int = MIN_WORDS) -> list[tuple[int, int, float]]:
+    """Languages of a text with these passages as (language, words, confidence), the main one first.
 
     Another language counts with ``min_words`` words in whole sentences.
     """
-    parts = passages(text, p)
     words: dict[int, int] = {}
     for _, _, k, w, _ in parts:
         words[k] = words.get(k, 0) + w
     order = sorted(words, key=lambda k: (-words[k], k))
-    confidence = {k: float(np.average([c for _, _, kk, _, c in parts if kk == k], weights=[b - a for a, b, kk, _, _ in parts if kk == k])) for k in order}
-    return [(k, words[k], confidence[k]) for i, k in enumerate(order) if i == 0 or words[k] >= min_words], parts
+    confidence = {k: float(np.average([c for *_, kk, _, c in parts if kk == k], weights=[b - a for a, b, kk, _, _ in parts if kk == k])) for k in order}
+    return [(k, words[k], confidence[k]) for i, k in enumerate(order) if i == 0 or words[k] >= min_words]
+
+
+def read_languages(model: ByteTagger, texts: list[bytes], with_passages: bool = False) -> Iterator[tuple[list[tuple[int, int, float]], list[tuple[int, int, int, int, float]]]]:
+    """(languages, passages) of each text; passages only where asked for or needed.
+
+    A text all of whose sentences have one language beyond doubt is settled for all texts at once.
+    """
+    line, first, p = model.read_flat(texts)
+    starts, words, of = sentences_in(line, first)
+    bounds = np.searchsorted(of, np.arange(len(texts) + 1))
+    plain = np.zeros(len(texts), bool)
+    if len(starts) and not with_passages:
+        steps = np.array([-(-len(t) // STRIDE) for t in texts])
+        room = np.diff(np.append(first // STRIDE, len(p)))
+        # The blanks that fill a text's last window don't count.
+        p[np.arange(len(p)) - np.repeat(first // STRIDE, room) >= np.repeat(steps, room)] = 0
+        head = np.concatenate([[True], of[1:] != of[:-1]])
+        at = np.where(head, first[of], starts) // STRIDE
+        sums = np.add.reduceat(p, at, axis=0)
+        best, sure = sums.argmax(1), sums.max(1) / np.maximum(sums.sum(1), 1e-9)
+        begin = np.flatnonzero(head)
+        same = (np.minimum.reduceat(best, begin) == np.maximum.reduceat(best, begin)) & (np.minimum.reduceat(sure, begin) >= 0.67)
+        plain[of[begin[same]]] = True
+        whole = np.add.reduceat(sums, begin, axis=0)
+        share = whole[np.arange(len(begin)), best[begin]] / np.maximum(whole.sum(1), 1e-9)
+        total = np.add.reduceat(words, begin)
+        where = np.full(len(texts), -1)
+        where[of[begin]] = np.arange(len(begin))
+    for n, t in enumerate(texts):
+        if plain[n]:
+            k = where[n]
+            yield [(int(best[begin[k]]), int(total[k]), float(share[k]))], []
+            continue
+        a, b, f = bounds[n], bounds[n + 1], first[n]
+        parts = passages(starts[a:b] - f, words[a:b], len(t), p[f // STRIDE : f // STRIDE + -(-len(t) // STRIDE)])
+        yield languages_of(parts), parts
 
 
 def fit(lang_samples: DataFrame, english: DataFrame | None = None) -> ByteTagger:
@@ -293,8 +359,7 @@ def document_languages(docs: DataFrame, model: ByteTagger, id_col: str = "chapte
 
     def read(ids: list, texts: list[bytes]) -> Iterator[pd.DataFrame]:
         rows = []
-        for i, t, p in zip(ids, texts, model.read(texts), strict=True):
-            langs, parts = languages_of(t, p)
+        for i, (langs, parts) in zip(ids, read_languages(model, texts, by_passage), strict=True):
             if by_passage:
                 rows += [(i, model.langs[k], w, c, n, a, b) for n, (a, b, k, w, c) in enumerate(parts, 1)]
             else:
