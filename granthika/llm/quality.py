@@ -118,7 +118,7 @@ def statistics(text: str, table: WordTable) -> tuple[float, ...]:
         short += k <= 3
         slash += " / " in x
     return (
-        float(n), float(len(lines)), chars / n, symbols / chars, digits / chars, hits / n, ends / per, entry / per, cell / per, numeric / n, wordlike / n, odd / chars, len(_BLANKS.findall(text)) / per, tail / per, slash / per, short / per, seps / n, letters / n, stops / n,
+        float(n), float(len(lines)), chars / n, symbols / chars, digits / chars, hits / n, ends / per, entry / per, cell / per, numeric / n, wordlike / n, odd / chars, (len(_BLANKS.findall(text)) if "___" in text or "......" in text or "……" in text else 0) / per, tail / per, slash / per, short / per, seps / n, letters / n, stops / n,
     )
 
 
@@ -154,7 +154,7 @@ def votes(s: dict[str, np.ndarray]) -> np.ndarray:
     return out
 
 
-def vote_patterns(docs: DataFrame, text: str, common: frozenset[str], keep: list[str]) -> DataFrame:
+def vote_patterns(docs: DataFrame, text: str, common: frozenset[str], keep: list[str], stats: tuple[str, ...] = STATS) -> DataFrame:
     """``keep`` columns, the statistics and ``pattern``: the votes as one string of digits."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -165,12 +165,13 @@ def vote_patterns(docs: DataFrame, text: str, common: frozenset[str], keep: list
             rows = np.array([statistics(t or "", words) for t in pdf[text]], float).reshape(len(pdf), len(STATS))
             v = votes({k: rows[:, j] for j, k in enumerate(STATS)})
             out = pdf[keep].copy()
-            for j, k in enumerate(STATS):
-                out[k] = rows[:, j]
-            out["pattern"] = ["".join(map(str, x)) for x in v]
+            for k in stats:
+                out[k] = rows[:, STATS.index(k)]
+            digits = np.ascontiguousarray(v + 48).view(f"S{v.shape[1]}").ravel()
+            out["pattern"] = digits.astype(f"U{v.shape[1]}")
             yield out
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in keep) + "".join(f", {k} double" for k in STATS) + ", pattern string"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in keep) + "".join(f", {k} double" for k in stats) + ", pattern string"
     return docs.select(*dict.fromkeys([*keep, text])).mapInPandas(run, schema)
 
 
@@ -212,9 +213,9 @@ def common_word_set(common_words: DataFrame) -> frozenset[str]:
     return frozenset(r.word.lower() for r in common_words.select("word").where("word is not null").distinct().collect())
 
 
-def text_types(docs: DataFrame, common_words: DataFrame, id_col: str = "chapter_id", text: str = "own_text", min_words: int = MIN_WORDS, extra: tuple[str, ...] = ()) -> DataFrame:
-    """``id_col``, ``extra``, the statistics, ``kind`` and its probability ``confidence``."""
-    seen = settle(vote_patterns(docs, text, common_word_set(common_words), [id_col, *extra]))
+def text_types(docs: DataFrame, common_words: DataFrame, id_col: str = "chapter_id", text: str = "own_text", min_words: int = MIN_WORDS, extra: tuple[str, ...] = (), stats: tuple[str, ...] = STATS) -> DataFrame:
+    """``id_col``, ``extra``, the statistics (those in ``stats``), ``kind`` and its probability ``confidence``."""
+    seen = settle(vote_patterns(docs, text, common_word_set(common_words), [id_col, *extra], tuple(dict.fromkeys(["n_words", *stats]))))
     counts = [(r.pattern, r["count"]) for r in seen.where(F.col("n_words") >= min_words).groupBy("pattern").count().collect()]
     model = fit_label_model(sorted(counts))
     rows = [(p, KINDS[int(np.argmax(x))], float(max(x))) for p, x in model.items()]
@@ -233,4 +234,5 @@ def chapter_types(chapters: DataFrame, common_words: DataFrame, marked: DataFram
 
 
 def found(chapters: DataFrame, common_words: DataFrame) -> DataFrame:
-    return chapter_types(chapters, common_words).where("kind <> 'prose'").select("chapter_id", "kind")
+    marked = mark_site_lines(chapters).select("chapter_id", "own_text")
+    return text_types(marked, common_words, stats=()).where("kind <> 'prose'").select("chapter_id", "kind")
