@@ -179,7 +179,8 @@ def mixture(documents: DataFrame, targets: DataFrame, total_tokens: int | None =
     rows = plan(documents, targets, total_tokens, block_tokens)
     wanted = targets.sparkSession.createDataFrame([(s,) for s in rows["source"]], "source string")
     placed = slots(documents.sparkSession, rows, block_tokens, shard_blocks, seed)
-    return placed.join(blocks(documents, wanted, block_tokens), ["source", "block"]), rows
+    # Both sides grow with the corpus, so neither may be broadcast.
+    return placed.hint("merge").join(blocks(documents, wanted, block_tokens), ["source", "block"]), rows
 
 
 def report(documents: DataFrame, targets: DataFrame, **options: int) -> DataFrame:
