@@ -28,6 +28,15 @@ def test_site_lines(spark):
     assert sitelines.found(df.limit(0)).count() == 0
 
 
+def test_site_lines_keep_other_columns(spark):
+    df = chapters(spark, [(i, f"c{i}", None, f"text {chr(97 + i) * 9}\n{LINE}", "https://s.example/") for i in range(6)])
+    for c in ("site_key", "site", "line_key", "k0", "depth", "site_keys_", "contents"):
+        df = df.withColumn(c, F.lit("mine"))
+    got = sitelines.mark_site_lines(df)
+    assert {"site_key", "site", "line_key", "k0", "depth", "contents"} <= set(got.columns)
+    assert [r.site_line_nos for r in got.collect()] == [[2]] * 6 and got.first().line_key == "mine"
+
+
 def test_site_lines_by_join(spark, monkeypatch):
     rows = [(i, f"c{i}", None, f"text {chr(97 + i) * 9}\n{LINE}", "https://s.example/") for i in range(6)]
     df = chapters(spark, rows)
