@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from granthika.functions import signal as S
 from granthika.functions import text as T
-from granthika.operators import chunking, grounding, harvest, search, telemetry, tfidf
+from granthika.operators import chunking, grounding, harvest, providers, search, telemetry, tfidf
 from granthika.registry import Registry
 from granthika.session import settle, shared_dir, table
 from granthika.sources import files
@@ -199,6 +199,12 @@ def dense_label_centroid(spark, sf):
     return search.centroids(table(spark, sf, "embeddings")).withColumn("value", F.round("value", 6))
 
 
+@query("masked_mean_pooling", "WITH l AS (SELECT label, CAST(i - 1 AS INTEGER) AS dim, CAST(embedding[i] AS DOUBLE) AS x, CASE WHEN vec_id % 3 = 0 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS m FROM embeddings, LATERAL (SELECT unnest(range(1, len(embedding) + 1)) AS i)) SELECT label, dim, round(sum(x * m) / greatest(sum(m), 1e-9::DOUBLE), 6) AS value FROM l GROUP BY label, dim")
+def masked_mean_pooling(spark, sf):
+    v = table(spark, sf, "embeddings").withColumn("mask", F.when(F.col("vec_id") % 3 == 0, 0).otherwise(1))
+    return providers.masked_mean(v, "label", "embedding", "mask").withColumn("value", F.round("value", 6))
+
+
 @query("dense_unit_norm_check", "SELECT count(*) AS vectors, CAST(count_if(abs(l - 1) < 1e-3) AS BIGINT) AS unit, CAST(min(d) AS BIGINT) AS least_dim, CAST(max(d) AS BIGINT) AS most_dim FROM (SELECT len(embedding) AS d, list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))) AS l FROM embeddings)")
 def dense_unit_norm_check(spark, sf):
     v = table(spark, sf, "embeddings").select(F.size("embedding").cast("bigint").alias("d"), search.dot(F.col("embedding"), F.col("embedding")).alias("l"))

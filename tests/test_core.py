@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from granthika.functions import signal as S
 from granthika.functions import text as T
-from granthika.operators import chunking, grounding, harvest, search, telemetry, tfidf
+from granthika.operators import chunking, grounding, harvest, providers, search, telemetry, tfidf
 from granthika.sources import files, rest
 from granthika.streaming import operators as streams
 
@@ -293,3 +293,63 @@ def test_stream_frames(spark, tmp_path):
 def test_stream_debounce(spark, tmp_path):
     got = run_stream(spark, tmp_path, [[("k", 0.0, "1"), ("k", 0.05, "0")], [("k", 0.2, "0"), ("k", 0.25, "1"), ("k", 0.5, "1")]], "key string, at double, value string", streams.debounced)
     assert sorted((r.at, r.value) for r in got.collect()) == [(0.0, "1"), (0.2, "0"), (0.5, "1")]
+
+
+def test_providers_isolate_failures(spark):
+    def shout(text):
+        if "bad" in text:
+            raise RuntimeError("no")
+        return text.upper()
+
+    df = spark.createDataFrame([(1, "fine"), (2, "bad")], "id int, text string")
+    got = {r.id: (r.out, r.out_error) for r in providers.isolated(df, shout, ["text"], "out").collect()}
+    assert got == {1: ("FINE", None), 2: (None, "RuntimeError: no")}
+    with pytest.raises(ValueError, match="no provider"):
+        providers.make("translate", "nowhere")
+    assert providers.make("translate", "none")("a", "en", "hi") == "a"
+
+
+def test_translation_by_sentence(spark):
+    def hi(s, a, b):
+        if s.startswith("Two"):
+            raise RuntimeError("no")
+        return f"[{b}]{s}"
+
+    df = spark.createDataFrame([("One. Two! Three",), (None,)], "answer_en string")
+    assert [r.localized for r in providers.translated(hi, "en", "hi")(df).collect()] == ["[hi]One. Two! [hi]Three", None]
+
+
+def test_console(spark):
+    rows = spark.createDataFrame([(1, False, "answer", "x", "y", ["a", "b"]), (2, True, "answer", "no", None, [])], "request_id int, refused boolean, intent string, answer_en string, answer_localized string, citations array<string>")
+    assert [r.line for r in providers.console(rows).orderBy("request_id").collect()] == ["[answer] y\n  - a\n  - b", "[refused] no"]
+
+
+def timed(spark, rows, schema, *stamps):
+    df = spark.createDataFrame(rows, schema)
+    for c in stamps:
+        df = df.withColumn(c, F.timestamp_seconds(c))
+    return df
+
+
+def memory(spark, df, name, mode):
+    q = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.table(name)
+
+
+def test_stream_sessions_and_gauge(spark, tmp_path):
+    rows = timed(spark, [("k", 0, 1.0), ("k", 10, 3.0), ("k", 100, 5.0)], "key string, ts int, value double", "ts")
+    rows.write.parquet(str(tmp_path / "in"))
+    src = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    assert sorted(r.n for r in memory(spark, streams.push_to_talk(src), "sessions_", "complete").collect()) == [1, 2]
+    src = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    assert sorted((r.n, r.mean) for r in memory(spark, streams.gauge(src, "60 seconds"), "gauge_", "complete").collect()) == [(1, 5.0), (2, 2.0)]
+
+
+def test_stream_correlation(spark, tmp_path):
+    q = timed(spark, [("A", 1000, 1), ("B", 1005, 2)], "request_kind string, request_ts int, q int", "request_ts")
+    a = timed(spark, [("A", 1001, 10), ("B", 1007, 20)], "response_kind string, response_ts int, a int", "response_ts")
+    q.write.parquet(str(tmp_path / "q"))
+    a.write.parquet(str(tmp_path / "a"))
+    got = memory(spark, streams.correlated(spark.readStream.schema(q.schema).parquet(str(tmp_path / "q")), spark.readStream.schema(a.schema).parquet(str(tmp_path / "a"))), "pairs_", "append")
+    assert [(r.q, r.a) for r in got.collect()] == [(1, 10)]
