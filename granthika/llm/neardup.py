@@ -273,8 +273,10 @@ def _second_pass(width: int, min_words: int, threshold: float, codes, heavy: int
                     o = np.argsort(g, kind="stable")
                     d, x, g = d[o], x[o], g[o]
                     sig, of = [], []
+                    ok = np.arange(len(g))
                     for off in range(1, len(g)):
-                        ok = np.flatnonzero(g[off:] == g[:-off])
+                        ok = ok[: np.searchsorted(ok, len(g) - off)]
+                        ok = ok[g[ok + off] == g[ok]]
                         if not len(ok):
                             break
                         sig.append(_mix(x[ok] * _P + _mix(x[ok + off]) + np.uint64(c)))
@@ -346,16 +348,22 @@ def _candidates(threshold: float, heavy: int):
             one = np.ones(len(sig), bool)
             one[1:] = (sig[1:] != sig[:-1]) | (doc[1:] != doc[:-1])
             sig, doc = sig[one], doc[one]
+            ok = np.arange(len(sig))
+            if c == len(CLASSES):
+                # Heavy sets stand first in their lists; only they scan what follows.
+                large = sizes[doc] >= heavy
+                o = np.lexsort((~large, sig))
+                sig, doc, ok = sig[o], doc[o], np.flatnonzero(large[o])
             for off in range(1, len(sig)):
-                ok = np.flatnonzero(sig[off:] == sig[:-off])
+                # Only places whose group goes on are looked at again, so the work is that of the pairs.
+                ok = ok[: np.searchsorted(ok, len(sig) - off)]
+                ok = ok[sig[ok + off] == sig[ok]]
                 if not len(ok):
                     break
                 for at in range(0, len(ok), 500_000):
                     a, b = doc[ok[at : at + 500_000]], doc[ok[at : at + 500_000] + off]
                     na, nb = sizes[a], sizes[b]
                     keep = np.minimum(na, nb) >= threshold * np.maximum(na, nb) - 1e-9
-                    if c == len(CLASSES):
-                        keep &= np.maximum(na, nb) >= heavy
                     a, b = a[keep], b[keep]
                     differ = np.zeros(len(a), np.int64)
                     for w in range(maps.shape[1]):
