@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granthika.functions import text as T
@@ -11,17 +11,19 @@ MAX_WORDS = 120
 OVERLAP = 25
 
 
-def windows(words: Column, max_words: int = MAX_WORDS, overlap: int = OVERLAP) -> Column:
-    """Texts of the windows; the last begins where the one before does not reach the end, so there is no tiny tail."""
-    step = max(1, max_words - overlap)
-    last = F.when(F.size(words) <= max_words, F.lit(0)).otherwise(F.ceil((F.size(words) - max_words) / F.lit(float(step))).cast("int"))
-    made = F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(words, i * step + 1, F.lit(max_words)), " "))
-    return F.when(F.size(words) > 0, made).otherwise(F.array().cast("array<string>"))
-
-
 def chunk(documents: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), max_words: int = MAX_WORDS, overlap: int = OVERLAP) -> DataFrame:
-    """One row per window: ``keep``, ``chunk_index`` from 0, ``chunk_text``. Empty texts have none."""
-    return documents.select(*keep, F.posexplode(windows(T.words(F.col(text)), max_words, overlap)).alias("chunk_index", "chunk_text"))
+    """One row per window: ``keep``, ``chunk_index`` from 0, ``chunk_text``. Empty texts have none.
+
+    The last window begins where the one before does not reach the end, so there is no tiny tail. A text
+    is cut into words once; its windows are rows before they are put together again.
+    """
+    step = max(1, max_words - overlap)
+    n = F.size("words_")
+    last = F.when(n <= max_words, F.lit(0)).otherwise(F.ceil((n - max_words) / F.lit(float(step))).cast("int"))
+    starts = F.when(n > 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+    cut = documents.select(*keep, T.words(F.col(text)).alias("words_"))
+    rows = cut.select(*keep, "words_", F.explode(starts).alias("chunk_index"))
+    return rows.select(*keep, "chunk_index", F.array_join(F.slice("words_", F.col("chunk_index") * step + 1, F.lit(max_words)), " ").alias("chunk_text"))
 
 
 def with_defaults(chunks: DataFrame, source: str) -> DataFrame:
