@@ -17,7 +17,9 @@ MAX_DF_RATIO = 0.6
 
 def term_counts(items: DataFrame, key: str, text: str) -> DataFrame:
     """``key``, ``term``, ``tf``; null texts have no terms."""
-    return items.select(key, F.explode(T.content_tokens(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    rows = items.select(key, F.explode(T.all_tokens(F.col(text))).alias("term"))
+    # A filter on rows is compiled, one on array elements is not.
+    return rows.where((F.length("term") > 2) & ~F.col("term").isin(*T.STOPWORDS)).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
 def vocabulary(counts: DataFrame, items: DataFrame, max_ratio: float = MAX_DF_RATIO) -> DataFrame:
@@ -41,9 +43,10 @@ def with_ids(vocab: DataFrame) -> DataFrame:
 
 def postings(counts: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
     """``key``, ``term``, ``weight``: sublinear tf times idf, each item at unit length."""
-    raw = counts.join(vocab.select("term", "idf"), "term").withColumn("raw", (F.log("tf") + 1) * F.col("idf"))
-    norm = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    return raw.join(norm, key).select(key, "term", (F.col("raw") / F.col("norm")).alias("weight"))
+    raw = counts.join(vocab.select("term", "idf"), "term").select(key, "term", ((F.log("tf") + 1) * F.col("idf")).alias("raw"))
+    # An item's terms are few: they travel as one row, so the length needs no second join.
+    items = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"), F.collect_list(F.struct("term", "raw")).alias("terms_"))
+    return items.select(key, "norm", F.inline("terms_")).select(key, "term", (F.col("raw") / F.col("norm")).alias("weight"))
 
 
 def norms(counts: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
