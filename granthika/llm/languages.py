@@ -339,6 +339,20 @@ def read_languages(model: ByteTagger, texts: list[bytes], with_passages: bool =
         yield languages_of(parts), parts
 
 
+def read_long(model: ByteTagger, text: bytes, at_once: int = READ_BYTES) -> tuple[list[tuple[int, int, float]], list[tuple[int, int, int, int, float]]]:
+    """(languages, passages) of a very long text, read whole but a slice at a time, so that memory stays bounded."""
+    out: list[tuple[int, int, int, int, float]] = []
+    for at in range(0, len(text), at_once):
+        ((_, parts),) = read_languages(model, [text[at : at + at_once]], True)
+        for a, b, k, w, c in parts:
+            a, b = a + at, b + at
+            if out and out[-1][2] == k:
+                a0, b0, _, w0, c0 = out.pop()
+                a, w, c = a0, w + w0, (c0 * (b0 - a0) + c * (b - a)) / max(1, b - a0)
+            out.append((a, b, k, w, c))
+    return languages_of(out), out
+
+
 def fit(lang_samples: DataFrame, english: DataFrame | None = None) -> ByteTagger:
     """Train on the labelled samples and, if given, on more English ones (``sample_id``, ``text``)."""
     rows = lang_samples.where("lang is not null and text is not null").orderBy("sample_id").limit(MOST_SAMPLES).collect()
@@ -359,7 +373,8 @@ def document_languages(docs: DataFrame, model: ByteTagger, id_col: str = "chapte
 
     def read(ids: list, texts: list[bytes]) -> Iterator[pd.DataFrame]:
         rows = []
-        for i, (langs, parts) in zip(ids, read_languages(model, texts, by_passage), strict=True):
+        found = [read_long(model, t) for t in texts] if len(texts[0]) > 2 * READ_BYTES else read_languages(model, texts, by_passage)
+        for i, (langs, parts) in zip(ids, found, strict=True):
             if by_passage:
                 rows += [(i, model.langs[k], w, c, n, a, b) for n, (a, b, k, w, c) in enumerate(parts, 1)]
             else:
@@ -374,9 +389,13 @@ def document_languages(docs: DataFrame, model: ByteTagger, id_col: str = "chapte
         for pdf in batches:
             for i, t in zip(pdf[id_col], pdf[text], strict=True):
                 if isinstance(t, str) and len(t.split()) >= min_words:
+                    data = clean(t)
+                    if len(data) > 2 * READ_BYTES:
+                        yield from read([i], [data])
+                        continue
                     ids.append(i)
-                    texts.append(clean(t))
-                    held += len(texts[-1])
+                    texts.append(data)
+                    held += len(data)
                     if held >= READ_BYTES:
                         yield from read(ids, texts)
                         ids, texts, held = [], [], 0

@@ -128,6 +128,10 @@ def test_languages_held_out(spark):
     df = spark.createDataFrame([(1, f"{en} {hi}"), (2, None), (3, "  "), (4, fr), (4, fr), (5, en * 400)], "chapter_id bigint, own_text string")
     got = sorted((r.chapter_id, r.lang) for r in languages.document_languages(df, model).collect())
     assert got == [(1, "en"), (1, "hi"), (4, "fr"), (4, "fr"), (5, "en")]
+    whole = languages.clean(f"{en} {hi} {hi} " * 40)
+    (langs, at_once), (same, sliced) = next(languages.read_languages(model, [whole], True)), languages.read_long(model, whole, 4096)
+    assert {k for k, _, _ in langs} == {k for k, _, _ in same} and abs(sum(x[3] for x in sliced) - sum(x[3] for x in at_once)) <= len(whole) // 4096 + 1
+    assert all(a[1] == b[0] for a, b in zip(sliced, sliced[1:])) and sliced[-1][1] == len(whole)
     parts = languages.document_languages(df.where("chapter_id = 1"), model, by_passage=True).orderBy("passage").collect()
     assert [p.lang for p in parts] == ["en", "hi"] and all(0.5 < p.confidence <= 1 for p in parts)
     pages_ = df.withColumn("medium", F.expr("case chapter_id when 4 then 'French' when 5 then ' HINDI ' end"))
