@@ -1,15 +1,16 @@
 """Noise in text from scanned pages (problem 4).
 
-Word counts of the whole corpus give the frequent words; skip-gram vectors of the most frequent ones
-are learned from the co-occurrence counts of the whole corpus. A rare word is linked to frequent
+Word counts of the whole corpus give the frequent words; skip-gram vectors of all of them are learned
+from the co-occurrence counts of the whole corpus. A rare word is linked to frequent
 words that plausible glyph edits lead to, and is corrected where its context, scored by the vectors,
 agrees. A frequent word is itself a misreading when a far more frequent word at one glyph edit has
 nearly the same vector. Then furniture (running headers, page numbers) goes, words cut at line ends
 are joined, and lines are reflowed into paragraphs.
 
 Scale: counts are taken per task and summed; only words above a share of the corpus are collected,
-so there are at most 1 / ``MIN_SHARE`` of them. The co-occurrence table has ``VECTOR_WORDS`` squared
-cells. Texts are repaired one by one where they lie.
+so there are at most 1 / ``MIN_SHARE`` of them. Only pairs that occur are counted and sent; the driver
+holds 16 bytes for each while it learns, and its work grows with the square of the dictionary. Texts are
+repaired one by one where they lie.
 
 Edge cases: null and blank texts stay as they are and have no noise; a null ``chapter`` names no
 header; very long texts are read whole; without frequent words nothing is corrected.
@@ -32,13 +33,17 @@ from granthika.session import settle
 
 MIN_COUNT = 4
 MIN_SHARE = 2e-6
-VECTOR_WORDS = 2000
 DIMENSIONS = 24
 WINDOW = 2
-SLICES = 8
+SLICES = 32
+#: A task hands on its pairs when it holds so many; vectors are learned in blocks of so many cells.
+HELD_PAIRS = 4_000_000
+BLOCK_CELLS = 4_000_000
 #: A frequent word is taken for a misreading of another only where that one is so many times as frequent.
 RATIO = 20
 MIN_COSINE = 0.55
+#: Under so many occurrences a vector is unsure: there a word 5 * RATIO as frequent is taken without likeness, too.
+FEW = 20
 MIN_SCORE = -2.0
 EDGE_LINES = 3
 MIN_GLYPHS = 3
@@ -104,17 +109,57 @@ def frequent_words(counts: DataFrame) -> dict[str, int]:
     return {r.word: r.n for r in counts.where(F.col("n") >= max(MIN_COUNT, MIN_SHARE * total)).collect()}
 
 
-def co_occurrence(docs: DataFrame, text: str, vocabulary: list[str]) -> np.ndarray:
-    """Counts of ordered pairs of the vocabulary within ``WINDOW`` words, over all texts."""
+def _sum_pairs(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct cells of all parts, with the sums of their counts."""
+    cells, n = (np.concatenate([x[i] for x in parts]) for i in range(2))
+    order = np.argsort(cells, kind="stable")
+    cells, n = cells[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]])) if len(cells) else np.zeros(0, int)
+    return cells[first], np.add.reduceat(n, first) if len(first) else n
+
+
+def _packed(cells: np.ndarray, n: np.ndarray) -> bytes:
+    return zlib.compress(np.stack([np.diff(cells, prepend=0), n]).astype(np.int64).tobytes(), 1)
+
+
+def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    steps, n = np.frombuffer(zlib.decompress(blob), np.int64).reshape(2, -1)
+    return np.cumsum(steps), n
+
+
+class Pairs:
+    """A symmetric table of pair counts, by rows; only cells that are not zero are held."""
+
+    def __init__(self, size: int, row: np.ndarray, column: np.ndarray, n: np.ndarray):
+        order = np.argsort(row, kind="stable")
+        self.size, self.column, self.n = size, column[order].astype(np.int32), n[order].astype(np.float32)
+        self.starts = np.searchsorted(row[order], np.arange(size + 1))
+
+    @classmethod
+    def of(cls, counts: np.ndarray) -> Pairs:
+        row, column = np.nonzero(counts)
+        return cls(len(counts), row, column, counts[row, column])
+
+    def block(self, lo: int, hi: int, values: np.ndarray) -> np.ndarray:
+        """Rows ``lo`` to ``hi`` with all their cells, filled from ``values``, one for each held cell."""
+        out = np.zeros((hi - lo, self.size), np.float32)
+        part = slice(self.starts[lo], self.starts[hi])
+        out[np.repeat(np.arange(hi - lo), np.diff(self.starts[lo : hi + 1])), self.column[part]] = values[part]
+        return out
+
+
+def co_occurrence(docs: DataFrame, text: str, vocabulary: list[str]) -> Pairs:
+    """Counts of pairs of the vocabulary within ``WINDOW`` words, in either order, over all texts."""
     v = len(vocabulary)
     if not v:
-        return np.zeros((0, 0), np.float32)
-    index = {w: i for i, w in enumerate(vocabulary)}
+        return Pairs.of(np.zeros((0, 0), np.float32))
+    numbers = docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(vocabulary)})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(v * v, np.int64)
+        index = numbers.value
         known: dict[str, int] = {}
         held: list[int] = []
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
 
         def add() -> None:
             ids = np.array(held, np.int64)
@@ -123,8 +168,16 @@ def co_occurrence(docs: DataFrame, text: str, vocabulary: list[str]) -> np.ndarr
                 a, b = ids[:-off], ids[off:]
                 # A text ends with WINDOW marks of -1, which keep it apart from the next.
                 ok = (a >= 0) & (b >= 0)
-                cells, n = np.unique(a[ok] * v + b[ok], return_counts=True)
-                total[cells] += n
+                a, b = a[ok], b[ok]
+                parts.append(np.unique(np.minimum(a, b) * v + np.maximum(a, b), return_counts=True))
+
+        def flush() -> Iterator[pd.DataFrame]:
+            cells, n = _sum_pairs(parts)
+            parts.clear()
+            for s in range(SLICES):
+                mine = cells // v % SLICES == s
+                if mine.any():
+                    yield pd.DataFrame({"slice": [s], "counts": [_packed(cells[mine], n[mine])]})
 
         for pdf in batches:
             for t in pdf[text]:
@@ -143,52 +196,67 @@ def co_occurrence(docs: DataFrame, text: str, vocabulary: list[str]) -> np.ndarr
                 held += [-1] * WINDOW
             if len(held) > 1_000_000:
                 add()
+                if sum(len(x) for x, _ in parts) > HELD_PAIRS:
+                    parts[:] = [_sum_pairs(parts)]
+                    if len(parts[0][0]) > HELD_PAIRS // 2:
+                        yield from flush()
         if held:
             add()
-        for s, part in enumerate(np.array_split(total, SLICES)):
-            if part.any():
-                yield pd.DataFrame({"slice": [s], "counts": [zlib.compress(np.minimum(part, 2**32 - 1).astype(np.uint32).tobytes(), 1)]})
+        if parts:
+            yield from flush()
 
     def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[int, np.ndarray] = {}
+        parts: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         for pdf in batches:
             for s, blob in zip(pdf["slice"], pdf["counts"], strict=True):
-                part = np.frombuffer(zlib.decompress(blob), np.uint32).astype(np.int64)
-                sums[s] = sums[s] + part if s in sums else part
-        for s, part in sums.items():
-            yield pd.DataFrame({"slice": [s], "counts": [zlib.compress(part.astype(np.float32).tobytes(), 1)]})
-
-    parts = np.array_split(np.zeros(v * v, np.float32), SLICES)
-    rows = docs.select(text).mapInPandas(run, "slice int, counts binary").repartition(SLICES, "slice").mapInPandas(add_up, "slice int, counts binary").collect()
-    for r in rows:
-        parts[r.slice] = np.frombuffer(zlib.decompress(r.counts), np.float32)
-    c = np.concatenate(parts).reshape(v, v)
-    return c + c.T
-
-
-def skip_gram(counts: np.ndarray, negatives: int = 5, rounds: int = 60, rate: float = 0.08, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
+                mine = parts.setdefault(s, [])
+                mine.append(_unpacked(blob))
+                if len(mine) > 1 and sum(len(x) for x, _ in mine[1:]) > max(HELD_PAIRS, len(mine[0][0])):
+                    mine[:] = [_sum_pairs(mine)]
+        for s, mine in parts.items():
+            cells, n = _sum_pairs(mine)
+            for at in range(0, len(cells), HELD_PAIRS):
+                yield pd.DataFrame({"slice": [s], "counts": [_packed(cells[at : at + HELD_PAIRS], n[at : at + HELD_PAIRS])]})
+
+    # Written, so that the driver takes one part after the other.
+    rows = settle(docs.select(text).mapInPandas(run, "slice int, counts binary").repartition(SLICES, "slice").mapInPandas(add_up, "slice int, counts binary"))
+    parts = [_unpacked(r.counts) for r in rows.toLocalIterator()]
+    cells, n = (np.concatenate([np.zeros(0, np.int64), *(x[i] for x in parts)]) for i in range(2))
+    a, b = np.divmod(cells, v)
+    other = a != b
+    return Pairs(v, np.concatenate([a, b[other]]), np.concatenate([b, a[other]]), np.concatenate([np.where(other, n, 2 * n), n[other]]))
+
+
+def skip_gram(counts: Pairs | np.ndarray, negatives: int = 5, rounds: int = 60, rate: float = 0.08, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """Word and context vectors: the skip-gram objective with negative sampling, over all counted pairs at once.
 
     With the pair counts at hand the expectation over negative samples is exact, so each round is a
     full gradient step (Adam).
     """
-    v = len(counts)
+    c = counts if isinstance(counts, Pairs) else Pairs.of(counts)
+    v = c.size
     rng = np.random.default_rng(seed)
     u, w = (rng.normal(0, 0.1, (v, DIMENSIONS)).astype(np.float32) for _ in range(2))
-    if not v or not counts.any():
+    if not len(c.n):
         return u, w
-    # Counts are flattened, or the few most frequent words would take all rounds.
-    c = np.power(counts, 0.6).astype(np.float32)
-    n = c.sum(1, keepdims=True)
-    p = np.power(counts.sum(0), 0.75)
+    p = np.power(np.bincount(c.column, c.n, v), 0.75)
     p = (p / p.sum()).astype(np.float32)
-    against = negatives * n * p[None, :]
+    # Counts are flattened, or the few most frequent words would take all rounds.
+    flat = np.power(c.n, 0.6).astype(np.float32)
+    n = np.bincount(np.repeat(np.arange(v), np.diff(c.starts)), flat, v).astype(np.float32)[:, None]
     norm = (n + negatives * n).clip(1e-6)
     state = [np.zeros_like(u), np.zeros_like(u), np.zeros_like(w), np.zeros_like(w)]
+    step = max(1, BLOCK_CELLS // v)
     for t in range(1, rounds + 1):
-        s = 1 / (1 + np.exp(-np.clip(u @ w.T, -15, 15)))
-        g = (c * (1 - s) - against * s) / norm
-        for x, grad, (i, j) in ((u, g @ w, (0, 1)), (w, g.T @ u, (2, 3))):
+        grad_u, grad_w = np.zeros_like(u), np.zeros_like(w)
+        for lo in range(0, v, step):
+            part = slice(lo, min(v, lo + step))
+            block = c.block(lo, part.stop, flat)
+            s = 1 / (1 + np.exp(-np.clip(u[part] @ w.T, -15, 15)))
+            g = (block * (1 - s) - negatives * n[part] * p[None, :] * s) / norm[part]
+            grad_u[part] = g @ w
+            grad_w += g.T @ u[part]
+        for x, grad, (i, j) in ((u, grad_u, (0, 1)), (w, grad_w, (2, 3))):
             state[i] = 0.9 * state[i] + 0.1 * grad
             state[j] = 0.99 * state[j] + 0.01 * grad * grad
             x += rate * (state[i] / (1 - 0.9**t)) / (np.sqrt(state[j] / (1 - 0.99**t)) + 1e-8)
@@ -244,12 +312,9 @@ class Speller:
                     out[w] = c[0]
                 continue
             for c in self.candidates(w, False):
-                a, b = self.index.get(w), self.index.get(c)
-                if a is not None and b is not None and len(w) > 2:
-                    if float(self.u[a] @ self.u[b]) / (length[a] * length[b]) >= MIN_COSINE:
-                        out[w] = c
-                        break
-                elif a is None and b is not None and len(w) > 3 and self.words[c] >= 5 * RATIO * self.words[w]:
+                a, b = self.index[w], self.index[c]
+                alike = len(w) > 2 and float(self.u[a] @ self.u[b]) / (length[a] * length[b]) >= MIN_COSINE
+                if alike or (len(w) > 3 and self.words[w] < FEW and self.words[c] >= 5 * RATIO * self.words[w]):
                     out[w] = c
                     break
         self.false_words = out
@@ -494,7 +559,7 @@ def _as_printed(token: str, better: str) -> str:
 def fit_speller(docs: DataFrame, text: str) -> Speller:
     """Dictionary and vectors of a corpus."""
     words = frequent_words(count_words(docs, text))
-    vocabulary = sorted(words, key=lambda w: (-words[w], w))[:VECTOR_WORDS]
+    vocabulary = sorted(words, key=lambda w: (-words[w], w))
     u, w = skip_gram(co_occurrence(docs, text, vocabulary))
     speller = Speller(words, vocabulary, u, w)
     speller.learn_false_words()

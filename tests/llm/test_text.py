@@ -116,6 +116,40 @@ def test_skip_gram_puts_like_words_together():
     assert cos("mirror", "stream") > 0.6 > cos("mirror", "watches")
 
 
+def test_rare_dictionary_words_have_vectors(spark):
+    rng = np.random.default_rng(2)
+    # More than 2,000 words are more frequent than the misreading, and what it stands for is only 30 times as frequent.
+    filler = [a + b + c for a in ("ka", "zo", "wa", "ty", "po", "sa", "ko") for b in ("mo", "ta", "po", "wy", "ko") for c in (x + y for x in "ktzpswmgr" for y in "aoy" + "w" + "s" + "p" + "z")][:2100]
+    texts = [" ".join(rng.permutation(filler)) for _ in range(26)]
+    texts += [f"The {'rnirror' if i % 31 == 0 else 'mirror'} shows the bright lamp near the window. A bright river passes our old garden." for i in range(620)]
+    texts.append("The rnirror moves. A rnirror shows the bright lamp. My rnirror passes.")
+    df = spark.createDataFrame([(i, None, t) for i, t in enumerate(texts)], "chapter_id bigint, chapter string, own_text string")
+    speller = scans.fit_speller(df, "own_text")
+    assert 20 * speller.words["rnirror"] <= speller.words["mirror"] < 100 * speller.words["rnirror"] and sorted(speller.words.values())[-2001] > speller.words["rnirror"]
+    assert speller.false_words == {"rnirror": "mirror"}
+    got = {r.chapter_id: r for r in scans.repaired(df).collect()}[len(texts) - 1]
+    assert got.noise == ["glyph"] and "rnirror" not in got.repaired
+
+
+def test_pair_counts_and_blocks(spark, monkeypatch):
+    texts = [*corpus(20), "mirror mirror mirror", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "own_text string").repartition(3)
+    vocab = sorted({scans.bare(w) for t in texts if t for w in t.split()})
+    at = {w: i for i, w in enumerate(vocab)}
+    want = np.zeros((len(vocab),) * 2)
+    for ids in ([at[scans.bare(w)] for w in t.split()] for t in texts if t):
+        for off in (1, 2):
+            for a, b in zip(ids, ids[off:]):
+                want[a, b] += 1
+                want[b, a] += 1
+    monkeypatch.setattr(scans, "HELD_PAIRS", 7)
+    got = scans.co_occurrence(df, "own_text", vocab)
+    assert (got.block(0, len(vocab), got.n) == want).all()
+    whole = scans.skip_gram(got, rounds=3)
+    monkeypatch.setattr(scans, "BLOCK_CELLS", 5 * len(vocab))
+    assert all(np.allclose(x, y, atol=1e-4) for x, y in zip(whole, scans.skip_gram(got, rounds=3)))
+
+
 @needs_data
 def test_languages_held_out(spark):
     s = pd.read_parquet(f"{DATA}/lang_samples.parquet")
