@@ -3,12 +3,13 @@
 Each document is a sequence of line identifiers. All suffixes of these sequences are sorted per
 site; neighbours with a common prefix form runs, and a run of depth d is a block of d lines that
 several documents share. A block is furniture when it stands under enough distinct content ids of
-its site; its lines are deleted.
+its site; its lines are deleted, whatever the block's depth. Each line of such a block stands under at
+least as many content ids as the block, so no line goes that would not qualify alone.
 
 Scale: a suffix is cut at ``DEPTH`` identifiers. Longer blocks are still removed whole, because each
 of their lines begins a suffix of its own. The suffixes of a site are divided by (first identifier,
 salt of the content id), so neither a hot site nor a hot line meets in one task; as a content id has
-one salt, the distinct counts of the slices add up exactly.
+one salt, the distinct counts of the slices add up exactly; runs of one content id are kept until then.
 
 Edge cases: columns of the input named ``own_text`` or as in ``_OWN`` are replaced, others are kept;
 rows with null ``source`` or null ``text`` have no lines; a null ``content_id`` is not
@@ -64,7 +65,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Common-prefix runs of sorted suffixes: (site, k0.., depth, distinct content ids).
 
     The rows of a slice come sorted, so a run continues from batch to batch through ``held``.
-    Runs deeper than one line are kept only where at least two suffixes share them.
+    Runs deeper than one line end with a line that counts.
     """
     names = ["site", *(f"k{i}" for i in range(DEPTH)), "content"]
     held: np.ndarray | None = None
@@ -82,7 +83,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             count = np.bincount(pairs[:, 0], minlength=len(starts))
             keep = count > 0
             if depth > 1:
-                keep = (count > 1) & (rows[starts, depth] != 0)
+                keep &= rows[starts, depth] != 0
             rows_out = rows[starts[keep]]
             cols = [pa.array(rows_out[:, j] if j <= depth else np.zeros(len(rows_out), np.int64)) for j in range(DEPTH + 1)]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(np.full(len(rows_out), depth, np.int32)), pa.array(count[keep].astype(np.int64))], schema=out_schema)
@@ -127,7 +128,7 @@ def repeated_blocks(chapters: DataFrame) -> DataFrame:
 def site_lines(chapters: DataFrame) -> DataFrame:
     """Lines of qualifying blocks: ``site_key``, ``line_key``; written once, as every user needs them twice."""
     blocks = repeated_blocks(chapters)
-    return settle(blocks.select("site_key", F.explode(F.array(*(f"k{i}" for i in range(DEPTH)))).alias("line_key"), "depth").where("depth = 1 and line_key <> 0").select("site_key", "line_key").distinct())
+    return settle(blocks.select("site_key", F.explode(F.array(*(f"k{i}" for i in range(DEPTH)))).alias("line_key")).where("line_key <> 0").select("site_key", "line_key").distinct())
 
 
 def mark_site_lines(chapters: DataFrame, lines: DataFrame | None = None) -> DataFrame:

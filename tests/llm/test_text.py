@@ -51,6 +51,27 @@ def test_blocks_over_batches(spark):
     assert (1, 7) in got and (2, 7) in got
 
 
+def test_blocks_over_slices(spark):
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "64")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        rows = [(i, f"c{i}", None, f"alpha beta gamma delta line\nsecond line of this block\nthird line of this block\nbody {i} {'abc' * i}", "https://s.example/") for i in range(12)]
+        got = sorted((r.depth, r.contents) for r in sitelines.repeated_blocks(chapters(spark, rows)).collect())
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert got == [(1, 12)] * 3 + [(2, 12)] * 2 + [(3, 12)]
+
+
+def test_lines_of_deeper_blocks_go(spark, monkeypatch):
+    rows = [(i, f"c{i}", None, f"alpha beta gamma delta line\nsecond line of this block\nbody {i}", "https://s.example/") for i in range(6)]
+    df = chapters(spark, rows)
+    blocks = sitelines.repeated_blocks
+    monkeypatch.setattr(sitelines, "repeated_blocks", lambda c: blocks(c).where("depth > 1"))
+    assert sorted(map(tuple, sitelines.found(df).collect())) == [(i, k) for i in range(6) for k in (1, 2)]
+
+
 PROSE = "The cat sat on the mat and it was happy. When the dog came in, the cat went out to the garden. "
 KINDS = {
     1: (PROSE * 2, "prose"), 2: ("\n".join(f"- late coin x {i}" for i in range(10, 30)), "list"), 3: ("Item\tTime\tCost\n" + "\n".join(f"coin\t{i}.5\t{i}%" for i in range(20)), "table"),
