@@ -121,6 +121,15 @@ def test_scans(spark):
     assert scans.repaired(df.limit(0)).count() == 0
 
 
+def test_headers_letterspaced_or_misread():
+    f = scans.Furniture("Chapter 3 — Water Cycle at home")
+    for line in ("W A T E R  C Y C L E  A T  H O M E", "W4T3R CYC1E 4T H0M3", "vvatcr cyclc at borne", "Water Cycle at home"):
+        assert f.of(line) == (True, False), line
+    assert f.of("W A T E R  C Y C L E  A T  H O M E   1 2")[0] and not f.of("The weather of our home town")[0] and not f.of("S T R E A M S  A N D  R I V E R S")[0]
+    long = "Chapter 3 — " + "The Long Way Of Water From The Clouds To The Sea And Back Again Through Rivers Fields And Forests"
+    assert scans.Furniture(long).of(" ".join(scans.chapter_name(long).upper())) == (True, False)
+
+
 def test_skip_gram_puts_like_words_together():
     words = [w for t in corpus() for w in [*t.lower().replace(".", "").split(), None]]
     vocab = sorted({w for w in words if w})
