@@ -654,7 +654,7 @@ def _streamed(spark: SparkSession, rows: DataFrame, op, schema: str, name: str)
 def _pieces(spark: SparkSession, sf: str) -> DataFrame:
     """Generated answers cut in the middle, with an end row, as a stream brings them."""
     a = responses(spark, sf).where("r.answer_en <> ''").groupBy("id").agg(F.max("r.answer_en").alias("t"))
-    cut = F.array(F.struct(F.lit(0).alias("seq"), F.expr("substring(t, 1, 20)").alias("chunk"), F.lit(False).alias("eos")), F.struct(F.lit(1).alias("seq"), F.expr("substring(t, 21, 100000)").alias("chunk"), F.lit(False).alias("eos")), F.struct(F.lit(2).alias("seq"), F.lit("").alias("chunk"), F.lit(True).alias("eos")))
+    cut = F.array(F.struct(F.lit(0).alias("seq"), F.expr("substring(t, 1, 20)").alias("chunk"), F.lit(False).alias("eos")), F.struct(F.lit(1).alias("seq"), F.expr("substring(t, 21)").alias("chunk"), F.lit(False).alias("eos")), F.struct(F.lit(2).alias("seq"), F.lit("").alias("chunk"), F.lit(True).alias("eos")))
     return a.select(F.col("id").cast("string").alias("stream_id"), F.inline(cut))
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from granthika.functions import signal as S
 from granthika.functions import text as T
 from granthika.operators import chunking, grounding, harvest, providers, search, telemetry, tfidf
+from granthika.plans import catalogue
 from granthika.sources import files, rest
 from granthika.streaming import operators as streams
 
@@ -285,6 +286,14 @@ def test_stream_sentences_equal_batch(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == [("a", 0, "Plants make food."), ("a", 1, "They grow!"), ("a", 2, "Last"), ("b", 0, "no end")]
 
 
+def test_stream_sentences_reads_long_answers_whole(spark, tmp_path):
+    sentences = [f"Sentence {i} tells of rivers." for i in range(5000)]
+    answer = json.dumps({"answer_en": " ".join(sentences), "refused": False})
+    spark.createDataFrame([(1, answer)], "id bigint, response string").write.parquet(str(tmp_path / "interactions.parquet"))
+    got = catalogue.stream_sentences(spark, str(tmp_path)).orderBy("index").collect()
+    assert len(answer) > 100_020 and [r.text for r in got] == sentences
+
+
 def test_stream_frames(spark, tmp_path):
     got = run_stream(spark, tmp_path, [[("s", 0, "BT", False)], [("s", 1, "0\r\nB", False)], [("s", 2, "T1\ndO", False)]], "stream_id string, seq int, chunk string, eos boolean", streams.frames)
     assert sorted(map(tuple, got.collect())) == [("s", 0, "BT0"), ("s", 1, "BT1")]
