@@ -1,6 +1,6 @@
 """Reading level of each document (problem 9).
 
-A linear ranker learns from pairs of sentences of graded samples which is harder, from syntax
+A linear ranker learns from all pairs of sentences of graded samples which is harder, from syntax
 (sentence length, commas, subordination) and vocabulary (word length, syllables, derived endings,
 and the level at which the samples use a word). Isotonic regression turns its scores into levels.
 A document's score is the word-weighted median over its sentences, so a stray sentence, a heading or
@@ -34,7 +34,8 @@ _SUBORDINATE = frozenset("although because whenever whereas whether which that w
 #: each boundary of the scale, counted.
 _BOUNDARIES = (1.5, 2.5, 3.5)
 _FIGURES = 12
-MOST_PAIRS = 200_000
+#: Pairs are gone through in blocks of about so many.
+BLOCK_PAIRS = 1_000_000
 N_FEATURES = _FIGURES + 1
 
 
@@ -117,6 +118,24 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array([b[0] for b in blocks]), np.array([b[1] for b in blocks])
 
 
+def rank(z: np.ndarray, of: np.ndarray, rounds: int, rate: float, ridge: float) -> np.ndarray:
+    """Weights of the logistic ranker over all pairs of rows of ``z`` whose levels ``of`` differ."""
+    w = np.zeros(z.shape[1])
+    pairs = [(z[of == v], z[of < v]) for v in np.unique(of)[1:]]
+    count = sum(len(hard) * len(easy) for hard, easy in pairs)
+    for _ in range(rounds if count else 0):
+        grad = np.zeros_like(w)
+        for hard, easy in pairs:
+            low = easy @ w
+            step = max(1, BLOCK_PAIRS // len(easy))
+            for at in range(0, len(hard), step):
+                part = hard[at : at + step]
+                p = 1 / (1 + np.exp(np.clip((part @ w)[:, None] - low[None, :], -30, 30)))
+                grad += p.sum(1) @ part - p.sum(0) @ easy
+        w += rate * (grad / count - ridge * w)
+    return w
+
+
 class LevelModel:
     """Ranker and calibration; ``level`` gives a text's level and score."""
 
@@ -135,16 +154,7 @@ class LevelModel:
         of = np.repeat(y, [len(parts[i][1]) for i in range(len(samples))])
         self.mean, self.scale = features.mean(0), features.std(0) + 1e-6
         z = (features - self.mean) / self.scale
-        rng = np.random.default_rng(7)
-        a, b = rng.integers(0, len(z), (2, MOST_PAIRS)) if len(z) else np.zeros((2, 0), int)
-        a, b = np.where(of[a] >= of[b], a, b), np.where(of[a] >= of[b], b, a)
-        harder = of[a] > of[b]
-        d = z[a[harder]] - z[b[harder]]
-        w = np.zeros(N_FEATURES)
-        for _ in range(rounds if len(d) else 0):
-            p = 1 / (1 + np.exp(np.clip(d @ w, -30, 30)))
-            w += rate * ((d * p[:, None]).mean(0) - ridge * w)
-        self.weights = w
+        self.weights = rank(z, of, rounds, rate, ridge)
         scores = np.array([self._score(*parts[i]) for i in range(len(samples))])
         ends, values = isotonic(scores, y)
         levels = sorted({int(v) for v in y})

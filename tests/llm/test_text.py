@@ -236,6 +236,19 @@ def test_levels_held_out(spark):
     assert got == [(1, 1), (2, 4), (6, 4)]
 
 
+def test_ranker_learns_from_all_pairs(monkeypatch):
+    rng = np.random.default_rng(4)
+    of = rng.integers(1, 5, 60).astype(float)
+    z = rng.normal(size=(60, 5)) + of[:, None] * np.array([1, 0.5, 0, 0, -0.2])
+    d = np.array([z[i] - z[j] for i in range(60) for j in range(60) if of[i] > of[j]])
+    want = np.zeros(5)
+    for _ in range(20):
+        want += 0.5 * ((d / (1 + np.exp(d @ want))[:, None]).mean(0) - 1e-3 * want)
+    monkeypatch.setattr(levels, "BLOCK_PAIRS", 100)
+    assert np.allclose(levels.rank(z, of, 20, 0.5, 1e-3), want)
+    assert (levels.rank(z[:3], np.ones(3), 20, 0.5, 1e-3) == 0).all()
+
+
 def test_isotonic_is_monotone():
     ends, values = levels.isotonic(np.array([1.0, 2, 3, 4, 5]), np.array([1.0, 3, 2, 2, 4]))
     assert list(values) == sorted(values) and ends[-1] == 5
