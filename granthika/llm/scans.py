@@ -9,8 +9,8 @@ are joined, and lines are reflowed into paragraphs.
 
 Scale: counts are taken per task and summed; only words above a share of the corpus are collected,
 so there are at most 1 / ``MIN_SHARE`` of them. Only pairs that occur are counted and sent; the driver
-holds 16 bytes for each while it learns, and its work grows with the square of the dictionary. Texts are
-repaired one by one where they lie.
+holds two cells of 12 bytes for each while it learns (a few times that while it sorts them), and its work
+grows with the square of the dictionary. Texts are repaired one by one where they lie.
 
 Edge cases: null and blank texts stay as they are and have no noise; a null ``chapter`` names no
 header; very long texts are read whole; without frequent words nothing is corrected.
