@@ -11,7 +11,8 @@ from granthika.session import settle
 
 def without_site_lines(chapters: DataFrame) -> DataFrame:
     """``chapter_id``, ``chapter``, ``medium`` and ``own_text`` of all chapters."""
-    return settle(mark_site_lines(chapters).select("chapter_id", "chapter", "medium", "own_text"))
+    read = chapters.select("chapter_id", "content_id", "chapter", "medium", "source", "text")
+    return settle(mark_site_lines(read).select("chapter_id", "chapter", "medium", "own_text"))
 
 
 def types_of(pages: DataFrame, common_words: DataFrame) -> DataFrame:

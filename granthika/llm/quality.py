@@ -229,10 +229,10 @@ def chapter_types(chapters: DataFrame, common_words: DataFrame, marked: DataFram
 
     A chapter whose whole text has ``MIN_WORDS`` words counts, even where the site's lines are most of it.
     """
-    marked = mark_site_lines(chapters) if marked is None else marked
+    marked = mark_site_lines(chapters.select("chapter_id", "content_id", "source", "text")) if marked is None else marked
     return text_types(marked.select("chapter_id", "own_text"), common_words)
 
 
 def found(chapters: DataFrame, common_words: DataFrame) -> DataFrame:
-    marked = mark_site_lines(chapters).select("chapter_id", "own_text")
+    marked = mark_site_lines(chapters.select("chapter_id", "content_id", "source", "text")).select("chapter_id", "own_text")
     return text_types(marked, common_words, stats=()).where("kind <> 'prose'").select("chapter_id", "kind")

@@ -37,39 +37,89 @@ def test_site_lines_keep_other_columns(spark):
     assert [r.site_line_nos for r in got.collect()] == [[2]] * 6 and got.first().line_key == "mine"
 
 
-def test_site_lines_by_join(spark, monkeypatch):
-    rows = [(i, f"c{i}", None, f"text {chr(97 + i) * 9}\n{LINE}", "https://s.example/") for i in range(6)]
-    df = chapters(spark, rows)
-    want = sorted(map(tuple, sitelines.found(df).collect()))
-    monkeypatch.setattr(sitelines, "BROADCAST_LINES", -1)
-    assert sorted(map(tuple, sitelines.found(df).collect())) == want == [(i, 2) for i in range(6)]
-
-
-def test_blocks_over_batches(spark):
-    rows = [(i, f"c{i % 7}", None, f"alpha beta gamma delta line\nsecond line of this block\nbody {i} {'abc' * i}", "https://s.example/") for i in range(40)]
-    got = {(r.depth, r.contents) for r in sitelines.repeated_blocks(chapters(spark, rows)).collect()}
-    assert (1, 7) in got and (2, 7) in got
+def _ways(monkeypatch):
+    """Few or many chunks, blocks sent to the rows or rows to the blocks."""
+    for chunk in (500_000, 6):
+        for most in (500_000, -1):
+            monkeypatch.setattr(sitelines, "CHUNK_LINES", chunk)
+            monkeypatch.setattr(sitelines, "BROADCAST_BLOCKS", most)
+            yield chunk, most
 
 
-def test_blocks_over_slices(spark):
-    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
-    try:
-        spark.conf.set("spark.sql.shuffle.partitions", "64")
-        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-        rows = [(i, f"c{i}", None, f"alpha beta gamma delta line\nsecond line of this block\nthird line of this block\nbody {i} {'abc' * i}", "https://s.example/") for i in range(12)]
-        got = sorted((r.depth, r.contents) for r in sitelines.repeated_blocks(chapters(spark, rows)).collect())
-    finally:
-        for k, v in old.items():
-            spark.conf.set(k, v)
-    assert got == [(1, 12)] * 3 + [(2, 12)] * 2 + [(3, 12)]
-
-
-def test_lines_of_deeper_blocks_go(spark, monkeypatch):
-    rows = [(i, f"c{i}", None, f"alpha beta gamma delta line\nsecond line of this block\nbody {i}", "https://s.example/") for i in range(6)]
+def test_site_lines_every_way(spark, monkeypatch):
+    """Null and repeated ids are rows like any other, however the work is divided."""
+    rows = [(i, f"c{i}", None, f"text {chr(97 + i) * 9}\n{LINE}", "https://s.example/") for i in range(6)]
+    rows += [(0, "c9", None, f"{LINE}\nanother text under a used id", "https://s.example/"), (None, "c8", None, f"a\nb\n{LINE}", "https://s.example/"), (None, None, None, LINE, "https://s.example/")]
     df = chapters(spark, rows)
-    blocks = sitelines.repeated_blocks
-    monkeypatch.setattr(sitelines, "repeated_blocks", lambda c: blocks(c).where("depth > 1"))
-    assert sorted(map(tuple, sitelines.found(df).collect())) == [(i, k) for i in range(6) for k in (1, 2)]
+    want = sorted([(i, 2) for i in range(6)] + [(0, 1), (-1, 3), (-1, 1)])
+    for way in _ways(monkeypatch):
+        assert sorted((-1 if r.chapter_id is None else r.chapter_id, r.line_no) for r in sitelines.found(df).collect()) == want, way
+    own = sitelines.mark_site_lines(df).where("chapter_id = 0").select("own_text").collect()
+    assert sorted(r.own_text for r in own) == ["another text under a used id", "text aaaaaaaaa"]
+
+
+def _plain_site_lines(rows):
+    """The definition, line by line."""
+    at = {}
+    contents = {}
+    for i, c, text, s in rows:
+        contents.setdefault(s, set()).add(c)
+        for n, line in enumerate(text.split("\n"), 1):
+            k = "".join(x for x in line if x.isalpha()).lower()
+            if len(k) >= 15:
+                at.setdefault((s, k), []).append((i, n, c))
+    return sorted((i, n) for (s, _), hits in at.items() if len({c for _, _, c in hits}) >= max(5, 0.05 * len(contents[s])) for i, n, _ in hits)
+
+
+def test_site_lines_against_the_definition(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    lines = [f"{w} line of some site that many pages show" for w in "alpha beta gamma delta epsilon zeta eta theta".split()]
+    rows = []
+    for i in range(160):
+        c = "hot" if i % 4 == 0 else f"c{rng.integers(0, 60)}"
+        at = int(rng.integers(0, 6))
+        body = [f"own words {chr(97 + i % 26) * 4} {chr(97 + i // 26) * 7} of this page", *lines[at : at + int(rng.integers(1, 4))], "short", *([lines[6], lines[7]] if i % 3 == 0 else [])]
+        rows.append((i, c, "\n".join(body), f"https://s{i % 3}.example/"))
+    df = chapters(spark, [(i, c, None, t, s) for i, c, t, s in rows])
+    want = _plain_site_lines(rows)
+    assert len(want) > 200
+    for way in _ways(monkeypatch):
+        assert sorted(map(tuple, sitelines.found(df).collect())) == want, way
+
+
+def test_suffix_array():
+    rng = np.random.default_rng(0)
+    for n, kinds in ((1, 2), (50, 3), (400, 2), (300, 40)):
+        line = rng.integers(0, kinds, n).astype(np.uint64)
+        line[-1] = 0
+        sa, shared = sitelines.suffix_array(line)
+        # A line that doesn't count equals no other.
+        told = [(0, int(x)) if x else (1, i) for i, x in enumerate(line)]
+        assert sorted(sa) == list(np.flatnonzero(line))
+        for i in range(1, len(sa)):
+            a, b = told[sa[i - 1] :], told[sa[i] :]
+            same = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+            assert shared[i] == same and (same < len(a) or same < len(b))
+
+
+BLOCK = "alpha beta gamma delta line\nsecond line of this block\nthird line of this block\nfourth line of this block\nlast line of this block"
+
+
+def test_blocks_are_maximal(spark, monkeypatch):
+    df = chapters(spark, [(i, f"c{i}", None, f"body {i} {chr(97 + i) * 9}\n{BLOCK}\nend {i}", "https://s.example/") for i in range(12)])
+    assert [(r.depth, r.contents) for r in sitelines.repeated_blocks(sitelines.with_line_keys(df)).collect()] == [(5, 12)]
+    # Two blocks that meet: what they share is a block of its own.
+    df = df.unionByName(chapters(spark, [(100 + i, f"d{i}", None, "second line of this block\nthird line of this block", "https://s.example/") for i in range(3)]))
+    assert sorted((r.depth, r.contents) for r in sitelines.repeated_blocks(sitelines.with_line_keys(df)).collect()) == [(2, 15), (5, 12)]
+
+
+def test_without_common_prefixes_lines_are_missed(spark, monkeypatch):
+    """Lines inside a block go by the block alone: with prefixes cut at one line they stay."""
+    df = chapters(spark, [(i, f"c{i}", None, f"body {i} {chr(97 + i) * 9}\n{BLOCK}", "https://s.example/") for i in range(6)])
+    assert sitelines.found(df).count() == 30
+    whole = sitelines.blocks_of
+    monkeypatch.setattr(sitelines, "blocks_of", lambda *a: whole(*a).query("depth == 1"))
+    assert sitelines.found(df).count() == 0
 
 
 PROSE = "The cat sat on the mat and it was happy. When the dog came in, the cat went out to the garden. "
