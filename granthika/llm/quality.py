@@ -1,9 +1,10 @@
 """Per-document text statistics and the text types they imply (problem 5).
 
 One pass computes the statistics of each text (without its site's own lines) and lets a fixed set of
-labelling functions, each a threshold on a few statistics, vote for a type or abstain. The votes are
-noisy labels: how far each function is to be trusted is learned by expectation-maximization from
-their agreements over all documents, and a document's type is the most probable one a posteriori.
+labelling functions, each a threshold on one statistic, vote for a type or abstain. The votes are
+noisy labels that contradict each other: how far each function is to be trusted, for each type, is
+learned by expectation-maximization from their agreements over all documents, and a document's type
+is the most probable one a posteriori.
 
 Only the counts of distinct vote patterns reach the driver. A pattern is one digit per function, so
 their number is bounded by the functions, not by the corpus.
@@ -122,35 +123,21 @@ def statistics(text: str, table: WordTable) -> tuple[float, ...]:
     )
 
 
+#: Labelling functions, a threshold on one statistic each: a text votes for the type if ``low <= statistic < high``.
+#: They are noisy and contradict each other; how far each is to be trusted is learned.
+RULES = (
+    ("common_share", 0.22, np.inf, "prose"), ("stop_share", 0.03, 0.35, "prose"), ("sentence_end_share", 0.45, np.inf, "prose"),
+    ("entry_share", 0.5, np.inf, "list"), ("tail_number_share", 0.5, np.inf, "list"), ("blank_share", 0.4, np.inf, "list"), ("slash_share", 0.5, np.inf, "list"), ("separator_share", 0.25, np.inf, "list"),
+    ("cell_share", 0.5, np.inf, "table"), ("number_share", 0.3, np.inf, "table"),
+    ("odd_script_share", 0.2, np.inf, "junk"), ("single_letter_share", 0.7, np.inf, "junk"), ("wordlike_share", 0.0, 0.55, "junk"), ("symbol_share", 0.3, np.inf, "junk"), ("mean_word_len", 18.0, np.inf, "junk"), ("mean_word_len", 0.0, 2.0, "junk"),
+)
+
+
 def votes(s: dict[str, np.ndarray]) -> np.ndarray:
-    """Labelling functions: a row per text, a column per function; 0 abstains, 1 + index of the type votes."""
-    prose, lst, table, junk = 1, 2, 3, 4
-    many = s["n_lines"] >= 3
-    #: Lists and tables differ from prose by function words: wherever these are frequent, sentences are.
-    rules = [
-        (s["common_share"] >= 0.22, prose),
-        ((s["sentence_end_share"] >= 0.45) & (s["stop_share"] >= 0.03) & (s["stop_share"] < 0.35), prose),
-        ((s["wordlike_share"] > 0.85) & (s["common_share"] > 0.12) & (s["cell_share"] < 0.4) & (s["entry_share"] < 0.4), prose),
-        ((s["symbol_share"] < 0.02) & (s["number_share"] < 0.08) & (s["tail_number_share"] < 0.3) & (s["entry_share"] < 0.4) & (s["wordlike_share"] > 0.7) & (s["separator_share"] < 0.2) & (s["single_letter_share"] < 0.5), prose),
-        ((s["entry_share"] >= 0.5) & many, lst),
-        ((s["tail_number_share"] >= 0.5) & many & (s["cell_share"] < 0.5), lst),
-        ((s["blank_share"] >= 0.4) & many, lst),
-        (((s["slash_share"] >= 0.5) | (s["entry_share"] >= 0.5) | (s["tail_number_share"] >= 0.5)) & (s["common_share"] < 0.25) & (s["odd_script_share"] < 0.1), lst),
-        ((s["cell_share"] >= 0.5) & many & (s["tail_number_share"] < 0.5) & (s["entry_share"] < 0.5), table),
-        ((s["number_share"] >= 0.3) & (s["common_share"] < 0.2) & (s["tail_number_share"] < 0.5) & (s["entry_share"] < 0.5), table),
-        ((s["cell_share"] >= 0.6) & (s["common_share"] < 0.2) & (s["tail_number_share"] < 0.5) & (s["entry_share"] < 0.5), table),
-        ((s["short_line_share"] >= 0.7) & (s["number_share"] >= 0.25) & many, table),
-        ((s["separator_share"] >= 0.25) & (s["common_share"] < 0.12) & (s["number_share"] < 0.15) & (s["symbol_share"] < 0.15), lst),
-        ((s["separator_share"] >= 0.25) & (s["stop_share"] <= 0.06) & (s["n_lines"] < 3) & (s["symbol_share"] < 0.15), lst),
-        (s["odd_script_share"] >= 0.2, junk),
-        (s["single_letter_share"] >= 0.7, junk),
-        ((s["wordlike_share"] < 0.4) & (s["number_share"] < 0.3), junk),
-        ((s["symbol_share"] >= 0.3) | (s["single_letter_share"] >= 0.7) | ((s["mean_word_len"] > 18) & (s["common_share"] < 0.02)), junk),
-        ((s["common_share"] < 0.015) & (s["number_share"] < 0.1) & (s["entry_share"] < 0.3) & (s["cell_share"] < 0.3) & (s["wordlike_share"] < 0.6), junk),
-    ]
-    out = np.zeros((len(s["n_words"]), len(rules)), np.int8)
-    for j, (holds, kind) in enumerate(rules):
-        out[holds, j] = kind
+    """A row per text, a column per labelling function; 0 abstains, 1 + index of the type votes."""
+    out = np.zeros((len(s["n_words"]), len(RULES)), np.int8)
+    for j, (name, low, high, kind) in enumerate(RULES):
+        out[(s[name] >= low) & (s[name] < high), j] = 1 + KINDS.index(kind)
     return out
 
 
@@ -175,28 +162,32 @@ def vote_patterns(docs: DataFrame, text: str, common: frozenset[str], keep: list
     return docs.select(*dict.fromkeys([*keep, text])).mapInPandas(run, schema)
 
 
-def fit_label_model(patterns: list[tuple[str, int]], rounds: int = 100) -> dict[str, tuple[float, ...]]:
+def majority(v: np.ndarray) -> np.ndarray:
+    """Shares of the types by a vote in which every function counts alike; equal ones where none votes."""
+    q = np.stack([(v == 1 + t).sum(1) for t in range(len(KINDS))], 1) + 1e-3
+    return q / q.sum(1, keepdims=True)
+
+
+def fit_label_model(patterns: list[tuple[str, int]], rounds: int = 200, steady: float = 0.3) -> dict[str, tuple[float, ...]]:
     """Posterior over ``KINDS`` of each vote pattern, by expectation-maximization.
 
     Each function has a table P(vote | type), each type a prior; both are re-estimated from the
-    posteriors until they settle. The first posteriors are the shares of the votes.
+    posteriors until they settle. The first posteriors are sharpened shares of the votes. ``steady``
+    counts of a function's votes over all texts are added to its table of every type alike: they steady
+    the tables of rare types and say nothing about which type a vote is right for.
     """
     if not patterns:
         return {}
     v = np.array([[int(c) for c in p] for p, _ in patterns])
     n = np.array([c for _, c in patterns], float)
-    k, m = len(KINDS), v.shape[1]
-    q = np.stack([(v == 1 + t).sum(1) for t in range(k)], 1) + 1e-3
-    q = q**2 / (q**2).sum(1, keepdims=True)
+    k = len(KINDS)
+    q = majority(v) ** 2
+    q /= q.sum(1, keepdims=True)
     hot = np.stack([v == d for d in range(k + 1)], 2).astype(float)
-    prior_counts = np.full((k, m, k + 1), 0.02)
-    prior_counts[:, :, 0] = 2.0
-    for t in range(k):
-        prior_counts[t, :, 1 + t] = 1.0
+    over_all = np.einsum("p,pmd->md", n, hot) / n.sum()
     for _ in range(rounds):
         prior = (n @ q + 1) / (n.sum() + k)
-        # Prior counts: a function mostly abstains or votes right; they steady the tables of rare types.
-        table = np.einsum("p,pt,pmd->tmd", n, q, hot) + prior_counts
+        table = np.einsum("p,pt,pmd->tmd", n, q, hot) + steady * over_all + 1e-3
         table /= table.sum(2, keepdims=True)
         score = np.log(prior) + np.einsum("pmd,tmd->pt", hot, np.log(table))
         new = np.exp(score - score.max(1, keepdims=True))
@@ -208,6 +199,17 @@ def fit_label_model(patterns: list[tuple[str, int]], rounds: int = 100) -> dict[
     return {p: tuple(map(float, x)) for (p, _), x in zip(patterns, q, strict=True)}
 
 
+def accuracies(patterns: list[tuple[str, int]], model: dict[str, tuple[float, ...]]) -> list[float]:
+    """Share of each function's votes that the posteriors hold right; nan for one that never votes."""
+    v = np.array([[int(c) for c in p] for p, _ in patterns]).reshape(len(patterns), len(RULES))
+    n, q = np.array([c for _, c in patterns], float), np.array([model[p] for p, _ in patterns])
+    out = []
+    for j, (_, _, _, kind) in enumerate(RULES):
+        w = n * (v[:, j] > 0)
+        out.append(float((w * q[:, KINDS.index(kind)]).sum() / w.sum()) if w.any() else float("nan"))
+    return out
+
+
 def common_word_set(common_words: DataFrame) -> frozenset[str]:
     """The table of frequent words is a fixed list of a few hundred rows."""
     return frozenset(r.word.lower() for r in common_words.select("word").where("word is not null").distinct().collect())

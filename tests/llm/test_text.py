@@ -150,6 +150,36 @@ def test_label_model_learns_accuracy():
     assert right >= 0.88
 
 
+def test_accuracies_decide_and_not_the_number_of_votes():
+    """Two poor functions outvote a good one in a plain count; learned accuracies do not let them."""
+    rng = np.random.default_rng(3)
+    n = 20_000
+    truth = rng.integers(0, 4, n)
+    def noisy(a):  # noqa: E306
+        return np.where(rng.random(n) < a, truth, rng.integers(0, 4, n)) + 1
+    v = np.stack([noisy(0.95), noisy(0.9), noisy(0.25), noisy(0.25), noisy(0.2)], 1)
+    counted = pd.Series(["".join(map(str, x)) for x in v]).value_counts()
+    def right(rounds):  # noqa: E306
+        model = quality.fit_label_model(sorted(counted.items()), rounds=rounds)
+        return np.mean([int(np.argmax(model["".join(map(str, x))])) == t for x, t in zip(v, truth, strict=True)])
+    assert right(200) > right(0) + 0.02 and right(200) > 0.93
+
+
+@needs_data
+def test_learned_types_differ_from_the_majority(spark):
+    """On real pages the learning decides, too: lists whose cells and numbers outvote their entries."""
+    base = DATA.replace("sf0.001", "sf0.01")
+    marked = sitelines.mark_site_lines(spark.read.parquet(f"{base}/chapters.parquet")).select("chapter_id", "own_text")
+    seen = quality.vote_patterns(marked, "own_text", quality.common_word_set(spark.read.parquet(f"{base}/common_words.parquet")), ["chapter_id"]).where("n_words >= 10")
+    counts = sorted((r.pattern, r["count"]) for r in seen.groupBy("pattern").count().collect())
+    model, plain = quality.fit_label_model(counts), quality.fit_label_model(counts, rounds=0)
+    other = [p for p, _ in counts if np.argmax(model[p]) != np.argmax(plain[p])]
+    assert other
+    trust = quality.accuracies(counts, model)
+    names = [(r[0], r[3]) for r in quality.RULES]
+    assert trust[names.index(("common_share", "prose"))] > 0.98 > 0.9 > trust[names.index(("cell_share", "table"))]
+
+
 def corpus(n=300):
     rng = np.random.default_rng(1)
     nouns, verbs = "mirror stream barometer window teacher garden".split(), "watches moves carries follows".split()
