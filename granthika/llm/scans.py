@@ -2,8 +2,11 @@
 
 Word counts of the whole corpus give the frequent words; skip-gram vectors of all of them are learned
 from the co-occurrence counts of the whole corpus. A rare word is linked to frequent
-words that plausible glyph edits lead to, and is corrected where its context, scored by the vectors,
-agrees. A frequent word is itself a misreading when a far more frequent word at one glyph edit has
+words that plausible glyph edits lead to; where it stands, the vectors rank these words by its context,
+and the best is taken if it fits as well as words that stand where they belong do. How well that is, is
+learned: the counted pairs tell the scores of words in their own contexts, the product of their shares
+those in contexts of others, and the threshold parts the two best. Vectors that cannot part them correct
+nothing. A frequent word is itself a misreading when a far more frequent word at one glyph edit has
 nearly the same vector. Then furniture (running headers, page numbers) goes, words cut at line ends
 are joined, and lines are reflowed into paragraphs.
 
@@ -26,6 +29,7 @@ from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,8 +48,12 @@ RATIO = 20
 MIN_COSINE = 0.55
 #: Under so many occurrences a vector is unsure: there a word 5 * RATIO as frequent is taken without likeness, too.
 FEW = 20
-MIN_SCORE = -2.0
+#: Vectors must tell this share more of the words in their own contexts than in others' to correct anything.
+MIN_TOLD = 0.5
+#: Lines at either end that are looked at and are no furniture.
 EDGE_LINES = 3
+#: Tasks whose counts are summed before those sums are.
+GROUP_TASKS = 64
 MIN_GLYPHS = 3
 
 # What is seen, and what may have been printed.
@@ -84,7 +92,7 @@ def count_words(docs: DataFrame, text: str) -> DataFrame:
             out: Counter[str] = Counter()
             for t, n in raw.items():
                 w = bare(t)
-                if w and len(w) <= 40 and _has_letter(w):
+                if w and _has_letter(w):
                     out[w] += n
             raw.clear()
             return pd.DataFrame({"word": list(out.keys()), "n": list(out.values())})
@@ -177,7 +185,7 @@ def co_occurrence(docs: DataFrame, text: str, vocabulary: list[str]) -> Pairs:
             for s in range(SLICES):
                 mine = cells // v % SLICES == s
                 if mine.any():
-                    yield pd.DataFrame({"slice": [s], "counts": [_packed(cells[mine], n[mine])]})
+                    yield pd.DataFrame({"slice": [s], "part": [TaskContext.get().partitionId() // GROUP_TASKS], "counts": [_packed(cells[mine], n[mine])]})
 
         for pdf in batches:
             for t in pdf[text]:
@@ -206,20 +214,23 @@ def co_occurrence(docs: DataFrame, text: str, vocabulary: list[str]) -> Pairs:
             yield from flush()
 
     def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        parts: dict[tuple[int, int], list[tuple[np.ndarray, np.ndarray]]] = {}
         for pdf in batches:
-            for s, blob in zip(pdf["slice"], pdf["counts"], strict=True):
-                mine = parts.setdefault(s, [])
+            for s, part, blob in zip(pdf["slice"], pdf["part"], pdf["counts"], strict=True):
+                mine = parts.setdefault((s, part), [])
                 mine.append(_unpacked(blob))
                 if len(mine) > 1 and sum(len(x) for x, _ in mine[1:]) > max(HELD_PAIRS, len(mine[0][0])):
                     mine[:] = [_sum_pairs(mine)]
-        for s, mine in parts.items():
+        for (s, _), mine in parts.items():
             cells, n = _sum_pairs(mine)
             for at in range(0, len(cells), HELD_PAIRS):
-                yield pd.DataFrame({"slice": [s], "counts": [_packed(cells[at : at + HELD_PAIRS], n[at : at + HELD_PAIRS])]})
+                yield pd.DataFrame({"slice": [s], "part": [-1], "counts": [_packed(cells[at : at + HELD_PAIRS], n[at : at + HELD_PAIRS])]})
 
-    # Written, so that the driver takes one part after the other.
-    rows = settle(docs.select(text).mapInPandas(run, "slice int, counts binary").repartition(SLICES, "slice").mapInPandas(add_up, "slice int, counts binary"))
+    # Summed by groups of tasks first, so that the last sums take a table from each group and not from each task;
+    # written, so that the driver takes one part after the other.
+    schema = "slice int, part int, counts binary"
+    grouped = docs.select(text).mapInPandas(run, schema).repartition("slice", "part").mapInPandas(add_up, schema)
+    rows = settle(grouped.repartition(SLICES, "slice").mapInPandas(add_up, schema))
     parts = [_unpacked(r.counts) for r in rows.toLocalIterator()]
     cells, n = (np.concatenate([np.zeros(0, np.int64), *(x[i] for x in parts)]) for i in range(2))
     a, b = np.divmod(cells, v)
@@ -263,6 +274,38 @@ def skip_gram(counts: Pairs | np.ndarray, negatives: int = 5, rounds: int = 60,
     return u, w
 
 
+def _below(t: np.ndarray, mean: np.ndarray, spread: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Share of a mixture of normal distributions (logistic curves come close) that lies under each ``t``."""
+    z = (t[:, None] - mean[None, :]) / (spread[None, :] + 1e-6)
+    return (1 / (1 + np.exp(-np.clip(1.702 * z, -40, 40)))) @ weight
+
+
+def learn_threshold(counts: Pairs, u: np.ndarray, w: np.ndarray) -> float:
+    """The score of a word in a context of 2 * ``WINDOW`` words that best parts its own contexts from those of others.
+
+    Infinite where the vectors part less than ``MIN_TOLD`` of them.
+    """
+    v = counts.size
+    if not len(counts.n):
+        return np.inf
+    p = np.bincount(counts.column, counts.n, v)
+    p = (p / p.sum()).astype(np.float32)
+    own, other = np.zeros((2, v)), np.zeros((2, v))
+    step = max(1, BLOCK_CELLS // v)
+    for lo in range(0, v, step):
+        hi = min(v, lo + step)
+        s = u[lo:hi] @ w.T
+        block = counts.block(lo, hi, counts.n)
+        n = block.sum(1).clip(1e-9)
+        own[0, lo:hi], own[1, lo:hi] = (block * s).sum(1) / n, (block * s * s).sum(1) / n
+        other[0, lo:hi], other[1, lo:hi] = s @ p, (s * s) @ p
+    spread = [np.sqrt(np.maximum(x[1] - x[0] ** 2, 0) / (2 * WINDOW)) for x in (own, other)]
+    grid = np.linspace(min(own[0].min(), other[0].min()), max(own[0].max(), other[0].max()), 400)
+    told = _below(grid, other[0], spread[1], p) - _below(grid, own[0], spread[0], p)
+    best = int(np.argmax(told))
+    return float(grid[best]) if told[best] >= MIN_TOLD else np.inf
+
+
 def edits(w: str, table: tuple[tuple[str, str], ...]) -> Iterator[str]:
     """Words that one edit of the table leads to."""
     for seen, printed in table:
@@ -277,10 +320,10 @@ class Speller:
 
     FINE, MISREAD, ASK, UNKNOWN = range(4)
 
-    def __init__(self, words: dict[str, int], vocabulary: list[str], u: np.ndarray, w: np.ndarray, false_words: dict[str, str] | None = None):
-        self.words, self.index, self.u, self.w = words, {x: i for i, x in enumerate(vocabulary)}, u, w
+    def __init__(self, words: dict[str, int], vocabulary: list[str], u: np.ndarray, w: np.ndarray, least: float, false_words: dict[str, str] | None = None):
+        self.words, self.index, self.u, self.w, self.least = words, {x: i for i, x in enumerate(vocabulary)}, u, w, least
         self.false_words = {} if false_words is None else false_words
-        self.known: dict[str, tuple[int, str]] = {}
+        self.known: dict[str, tuple[int, list[str]]] = {}
         self.doubt: dict[str, int] = {}
         self.furniture: dict[str | None, Furniture] = {}
 
@@ -293,6 +336,7 @@ class Speller:
             self.furniture.clear()
 
     def candidates(self, w: str, signs_only: bool) -> list[str]:
+        """Frequent words that glyph edits of ``w`` lead to, the most frequent first."""
         n = self.words.get(w, 0)
         first = set(edits(w, SIGN_EDITS)) if signs_only else set(edits(w, LETTER_EDITS))
         found = {x for x in first if self.words.get(x.strip(_ALL_OUTER), 0) >= max(MIN_COUNT, RATIO * n)}
@@ -327,46 +371,47 @@ class Speller:
                 self.judge(w)
             return not any([self.doubt[w] for w in words])
 
-    def judge(self, token: str) -> tuple[int, str]:
+    def judge(self, token: str) -> tuple[int, list[str]]:
         got = self.known.get(token)
         if got is None:
             got = self.known[token] = self._judge(token)
             self.doubt[token] = got[0]
         return got
 
-    def _judge(self, token: str) -> tuple[int, str]:
+    def _judge(self, token: str) -> tuple[int, list[str]]:
         w = bare(token)
         if not w or not _has_letter(w):
-            return self.FINE, ""
+            return self.FINE, []
         if w in self.false_words:
-            return self.MISREAD, self.false_words[w]
+            return self.MISREAD, [self.false_words[w]]
         t = token.strip(_OUTER).lower()
         if w in self.words:
             # A mark of a sentence's end read as another sign.
             if token[-1:] == "|" and not w.isascii():
-                return self.MISREAD, w
-            return self.FINE, ""
+                return self.MISREAD, [w]
+            return self.FINE, []
         if _ORDINAL.match(w):
-            return self.FINE, ""
+            return self.FINE, []
         sign = bool(_INNER_SIGN.search(t))
         if sign or t != w:
             c = self.candidates(t, True)
             if c:
-                return self.MISREAD, c[0]
+                return self.MISREAD, c
             if sign:
-                return (self.MISREAD if any(not x.isalnum() and x not in "-'’" for x in w) and sum(x.isalpha() for x in w) >= 2 else self.UNKNOWN), ""
+                return (self.MISREAD if any(not x.isalnum() and x not in "-'’" for x in w) and sum(x.isalpha() for x in w) >= 2 else self.UNKNOWN), []
         if "-" in w and all(x in self.words for x in w.split("-") if x):
-            return self.FINE, ""
+            return self.FINE, []
         c = self.candidates(w, False) if len(w) > 2 else []
-        return (self.ASK, c[0]) if c else (self.UNKNOWN, "")
+        return (self.ASK, c) if c else (self.UNKNOWN, [])
 
-    def fits(self, word: str, context: list[str]) -> bool:
-        """Whether the vectors take ``word`` in this context; without vectors the edit alone decides."""
-        i = self.index.get(word)
-        at = [self.index[x] for x in context if x in self.index]
-        if i is None or not at:
-            return True
-        return float(np.mean(self.u[i] @ self.w[at].T)) >= MIN_SCORE
+    def best(self, candidates: list[str], context: list[str]) -> tuple[str, bool]:
+        """The candidate that fits the context best, the more frequent of equals, and whether it fits well enough."""
+        at = [self.index[x] for x in context if x in self.index and x not in self.false_words]
+        if not at:
+            return candidates[0], False
+        scores = (self.u[[self.index[x] for x in candidates]] @ self.w[at].T).mean(1)
+        i = int(np.argmax(scores))
+        return candidates[i], bool(scores[i] > self.least)
 
 
 # Words beside a printed page number.
@@ -457,11 +502,14 @@ def repair(text: str, chapter: str | None, speller: Speller) -> tuple[str, list[
         furniture = speller.furniture.get(chapter)
         if furniture is None:
             furniture = speller.furniture[chapter] = Furniture(chapter)
-        for order in (filled[:EDGE_LINES], filled[::-1][:EDGE_LINES]):
+        for order in (filled, filled[::-1]):
+            plain = 0
             for i in order:
                 header, number = furniture.of(lines[i])
                 if header or number:
                     drop.add(i)
+                elif (plain := plain + 1) == EDGE_LINES:
+                    break
                 if header:
                     kinds.add("header")
                 if number:
@@ -508,7 +556,7 @@ def repair(text: str, chapter: str | None, speller: Speller) -> tuple[str, list[
         fixed: list[str] = []
         while k < len(words):
             t = words[k]
-            verdict, better = speller.judge(t)
+            verdict, candidates = speller.judge(t)
             if verdict == Speller.FINE:
                 # A stray blank inside a word: its halves are rare or no words, together they are one.
                 fixed.append(t)
@@ -527,9 +575,12 @@ def repair(text: str, chapter: str | None, speller: Speller) -> tuple[str, list[
                 fixed.append(t + words[k + 1])
                 misread += 1
                 k += 1
-            elif verdict == Speller.MISREAD or (verdict == Speller.ASK and speller.fits(better, [bare(x) for x in words[max(0, k - WINDOW) : k] + words[k + 1 : k + 1 + WINDOW]])):
-                misread += 1
-                fixed.append(_as_printed(t, better) if better else t)
+            elif verdict in (Speller.MISREAD, Speller.ASK):
+                # A sign inside a word is a misreading whatever it stands for; letters are one only where another word fits.
+                better, fits = speller.best(candidates, [bare(x) for x in fixed[-WINDOW:] + words[k + 1 : k + 1 + WINDOW]]) if candidates else ("", False)
+                taken = verdict == Speller.MISREAD or fits
+                misread += taken
+                fixed.append(_as_printed(t, better) if taken and better else t)
             else:
                 fixed.append(t)
             k += 1
@@ -554,8 +605,9 @@ def fit_speller(docs: DataFrame, text: str) -> Speller:
     """Dictionary and vectors of a corpus."""
     words = frequent_words(count_words(docs, text))
     vocabulary = sorted(words, key=lambda w: (-words[w], w))
-    u, w = skip_gram(co_occurrence(docs, text, vocabulary))
-    speller = Speller(words, vocabulary, u, w)
+    pairs = co_occurrence(docs, text, vocabulary)
+    u, w = skip_gram(pairs)
+    speller = Speller(words, vocabulary, u, w, learn_threshold(pairs, u, w))
     speller.learn_false_words()
     return speller
 
@@ -566,7 +618,7 @@ def repaired(docs: DataFrame, text: str = "own_text", with_text: bool = True) ->
     Without ``with_text`` the repaired texts stay where they were made.
     """
     speller = fit_speller(docs, text)
-    parts = docs.sparkSession.sparkContext.broadcast((speller.words, list(speller.index), speller.u, speller.w, speller.false_words))
+    parts = docs.sparkSession.sparkContext.broadcast((speller.words, list(speller.index), speller.u, speller.w, speller.least, speller.false_words))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = Speller(*parts.value)

@@ -201,6 +201,32 @@ def test_scans(spark):
     assert scans.repaired(df.limit(0)).count() == 0
 
 
+def test_vectors_decide(spark, monkeypatch):
+    """Without vectors, or with random ones, no word is corrected for its letters alone; with them the context chooses among words."""
+    rng = np.random.default_rng(5)
+    texts = [f"A {rng.choice(['bright', 'small', 'broken'])} lamp shows the heat near our {rng.choice(['oven', 'stove', 'fire'])}." for _ in range(300)]
+    texts += [f"My {rng.choice(['dear', 'good', 'little'])} brother will beat every {rng.choice(['carpet', 'drum', 'egg'])} today." for _ in range(300)]
+    texts.append("My dear brothcr will beat evcry drum today. My good brothcr will beat evcry egg today.")
+    df = spark.createDataFrame([(i, None, t) for i, t in enumerate(texts)], "chapter_id bigint, chapter string, own_text string")
+    last = lambda: {r.chapter_id: r for r in scans.repaired(df).where(f"chapter_id = {len(texts) - 1}").collect()}[len(texts) - 1]
+    speller = scans.fit_speller(df, "own_text")
+    assert np.isfinite(speller.least)
+    assert speller.best(["beat", "heat"], ["shows", "the", "near", "our"])[0] == "heat" and speller.best(["heat", "beat"], ["brother", "will", "every", "drum"])[0] == "beat"
+    assert speller.best(["heat"], ["brother", "will", "every", "drum"])[1] is False and speller.best(["heat"], [])[1] is False
+    got = last()
+    assert got.noise == ["glyph"] and got.repaired.startswith("My dear brother will beat every drum")
+    for off in (lambda c: (np.zeros((c.size, 24), np.float32),) * 2, lambda c: tuple(rng.normal(0, 1, (2, c.size, 24)).astype(np.float32))):
+        monkeypatch.setattr(scans, "skip_gram", off)
+        assert last().noise == []
+
+
+def test_furniture_in_a_stack():
+    name = "Chapter 3 — Water Cycle at home"
+    speller = scans.Speller({}, [], np.zeros((0, 24)), np.zeros((0, 24)), np.inf)
+    text = "\n".join(["Water Cycle at home", "- 4 -", "WATER CYCLE AT HOME", "page 4", "Water Cycle", "The rain falls."])
+    assert scans.repair(text, name, speller)[:2] == ("Water Cycle The rain falls.", ["header", "pageno"])
+
+
 def test_headers_letterspaced_or_misread():
     f = scans.Furniture("Chapter 3 — Water Cycle at home")
     for line in ("W A T E R  C Y C L E  A T  H O M E", "W4T3R CYC1E 4T H0M3", "vvatcr cyclc at borne", "Water Cycle at home"):
