@@ -13,7 +13,8 @@ at most ``max_repeats`` slots and the few documents of one block on either side.
 Edge cases: a null ``source`` belongs to no target but counts among all tokens; null texts have one
 token; a source without documents or with a null or zero weight has no slots; sources that cannot
 reach their share give all they may and the others share the rest in proportion; if none can give
-more, the mixture is smaller than asked, and the report says so.
+more, the mixture is smaller than asked, and the report says so. Shares are drawn, so a source of share p
+among n slots ends within a few times sqrt(n p (1 - p)) slots of its part.
 """
 
 from __future__ import annotations
@@ -131,26 +132,48 @@ def plan(documents: DataFrame, targets: DataFrame, total_tokens: int | None = No
     return rows
 
 
-def slots(spark, rows: pd.DataFrame, block_tokens: int = BLOCK_TOKENS, shard_blocks: int = SHARD_BLOCKS, seed: int = SEED) -> DataFrame:
-    """The mixture as slots: ``shard``, ``slot``, ``source``, ``repeat``, ``block``."""
-    rows = rows[(rows["allotted"] > 0) & (rows["blocks"] > 0)]
-    names, n_blocks, repeats = list(rows["source"]), [int(x) for x in rows["blocks"]], [int(x) for x in rows["max_repeats"]]
-    # Blocks are full but for a source's last one; a source is allotted in blocks of its own mean size.
-    share = np.array([a / max(1.0, t / b) for a, t, b in zip(rows["allotted"], rows["tokens"], n_blocks, strict=True)], float)
-    want = share.sum()
-    total = int(round(want))
+def _draws(spark, names: list[str], p: np.ndarray, total: int, shard_blocks: int, seed: int, first: int = 0) -> DataFrame:
+    """Multinomial counts of each shard from number ``first`` on: ``shard``, ``bucket``, ``source``, ``n``."""
     shards = max(1, -(-total // shard_blocks))
-    p = (share / want) if len(names) else share
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for s in pdf["id"]:
                 n = min(shard_blocks, total - int(s) * shard_blocks)
-                counts = np.random.default_rng([seed, int(s)]).multinomial(n, p) if len(p) else np.zeros(0, int)
                 if len(p):
-                    yield pd.DataFrame({"shard": int(s), "bucket": int(s) // 4096, "source": names, "n": counts})
+                    counts = np.random.default_rng([seed, first + int(s)]).multinomial(n, p)
+                    yield pd.DataFrame({"shard": first + int(s), "bucket": (first + int(s)) // 4096, "source": names, "n": counts})
+
+    return spark.range(0, shards, 1, min(shards, max(1, shards // 64))).mapInPandas(draw, "shard bigint, bucket bigint, source string, n bigint")
+
 
-    counts = spark.range(0, shards, 1, min(shards, max(1, shards // 64))).mapInPandas(draw, "shard bigint, bucket bigint, source string, n bigint")
+def _sum_of(draws: DataFrame) -> dict[str, int]:
+    """Slots drawn by source, a row for each of the few targets."""
+    return {r.source: r.n for r in draws.groupBy("source").agg(F.sum("n").alias("n")).collect()}
+
+
+def slots(spark, rows: pd.DataFrame, block_tokens: int = BLOCK_TOKENS, shard_blocks: int = SHARD_BLOCKS, seed: int = SEED) -> DataFrame:
+    """The mixture as slots: ``shard``, ``slot``, ``source``, ``repeat``, ``block``.
+
+    Slots that a draw gives to a source beyond its last repeat are drawn again, in shards that follow,
+    among the sources that have blocks left.
+    """
+    rows = rows[(rows["allotted"] > 0) & (rows["blocks"] > 0)]
+    names, n_blocks, repeats = list(rows["source"]), [int(x) for x in rows["blocks"]], [int(x) for x in rows["max_repeats"]]
+    # Blocks are full but for a source's last one; a source is allotted in blocks of its own mean size.
+    share = np.array([a / max(1.0, t / b) for a, t, b in zip(rows["allotted"], rows["tokens"], n_blocks, strict=True)], float)
+    most = np.array([b * r for b, r in zip(n_blocks, repeats, strict=True)], float)
+    left = int(round(share.sum()))
+    counts, first, held = None, 0, np.zeros(len(names))
+    while counts is None or (left > 0 and (held < most).any()):
+        free = share * (held < most)
+        part = _draws(spark, names, free / free.sum() if free.sum() else np.zeros(0), left, shard_blocks, seed, first)
+        counts = part if counts is None else counts.unionByName(part)
+        first += max(1, -(-left // shard_blocks))
+        got = _sum_of(part)
+        drawn = held + np.array([got.get(x, 0) for x in names], float)
+        left = int(np.maximum(drawn - most, 0).sum())
+        held = np.minimum(drawn, most)
     runs = _with_starts(counts, "source", "bucket", "shard", "n", "start")
     order = {s: i for i, s in enumerate(names)}
 
@@ -183,17 +206,45 @@ def mixture(documents: DataFrame, targets: DataFrame, total_tokens: int | None =
     return placed.hint("merge").join(blocks(documents, wanted, block_tokens), ["source", "block"]), rows
 
 
-def report(documents: DataFrame, targets: DataFrame, **options: int) -> DataFrame:
-    """Target and reached share of each source, and whether its repeats suffice for the target."""
-    mixed, rows = mixture(documents, targets, **options)
-    reached = mixed.groupBy("source").agg(F.sum(F.col("to_token") - F.col("from_token")).alias("mixed_tokens"), F.max("repeat").alias("last_repeat"))
-    rows = rows.assign(short=rows["most"] < rows["target_weight"] * rows["all_tokens"])
+#: So many standard errors of the draw a source's slots may fall short and still be looked at exactly.
+MARGIN = 8.0
+
+
+def report(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, block_tokens: int = BLOCK_TOKENS, shard_blocks: int = SHARD_BLOCKS, seed: int = SEED) -> DataFrame:
+    """Target and reached share of each source, and whether its repeats suffice for the target.
+
+    ``wanted_slots`` is drawn at the target weights alone, ``supply_tokens`` is what the blocks of the mixture
+    hold times the repeats, ``unfilled_slots`` what the draw wants beyond them. Where the drawn slots, with
+    ``MARGIN`` times the draw's own error of sqrt(n p (1 - p)) slots, reach the supply, an exact comparison
+    of tokens decides ``short``; no other source can be short.
+    """
+    mixed, rows = mixture(documents, targets, total_tokens, block_tokens, shard_blocks, seed)
     spark = documents.sparkSession
-    fixed = spark.createDataFrame([tuple(x) for x in rows[["source", "target_weight", "max_repeats", "tokens", "all_tokens", "allotted", "short"]].itertuples(index=False)], "source string, target_weight double, max_repeats bigint, tokens bigint, all_tokens bigint, allotted double, short boolean")
-    joined = fixed.join(settle(reached), "source", "left").withColumn("mixed_tokens", F.coalesce("mixed_tokens", F.lit(0)))
-    return joined.withColumn("reached_share", F.col("mixed_tokens") / F.nullif(F.sum("mixed_tokens").over(Window.partitionBy(F.lit(1))), F.lit(0))).withColumn("repeats_used", F.coalesce(F.col("last_repeat") + 1, F.lit(0))).drop("last_repeat")
+    reached = mixed.groupBy("source").agg(F.sum(F.col("to_token") - F.col("from_token")).alias("mixed_tokens"), F.max("repeat").alias("last_repeat"))
+    held = blocks(documents, spark.createDataFrame([(s,) for s in rows["source"]], "source string"), block_tokens).groupBy("source").agg(F.sum(F.col("to_token") - F.col("from_token")).alias("held_tokens"), F.countDistinct("block").alias("held_blocks"))
+    weights = rows["target_weight"].to_numpy(float)
+    total = int(rows["all_tokens"].iloc[0]) if total_tokens is None and len(rows) else (total_tokens or 0)
+    n = max(1, -(-total // block_tokens))
+    p = weights / weights.sum() if weights.sum() else np.zeros(0)
+    wanted = _draws(spark, list(rows["source"]), p, n, shard_blocks, seed + 1).groupBy("source").agg(F.sum("n").alias("wanted_slots"))
+    fixed = spark.createDataFrame([tuple(x) for x in rows[["source", "target_weight", "max_repeats", "tokens", "all_tokens", "allotted"]].itertuples(index=False)], "source string, target_weight double, max_repeats bigint, tokens bigint, all_tokens bigint, allotted double")
+    joined = fixed.join(settle(reached), "source", "left").join(settle(held), "source", "left").join(wanted, "source", "left").na.fill(0, ["mixed_tokens", "held_tokens", "held_blocks", "wanted_slots"])
+    supply = (F.col("held_tokens") * F.col("max_repeats")).alias("supply_tokens")
+    shown = joined.withColumn("supply_tokens", supply).withColumn("unfilled_slots", F.greatest(F.col("wanted_slots") - F.col("held_blocks") * F.col("max_repeats"), F.lit(0)))
+    # Slots are of a full block's size; the weights may sum to another number than 1.
+    error = F.sqrt(F.lit(float(n)) * F.col("target_weight")) * MARGIN + 1
+    reaches = (F.col("wanted_slots") * F.lit(float(weights.sum()) or 1.0) + error) * block_tokens >= F.col("supply_tokens")
+    exactly = F.col("tokens") * F.col("max_repeats") < F.col("target_weight") * F.col("all_tokens")
+    return (
+        shown.withColumn("short", reaches & exactly)
+        .withColumn("reached_share", F.col("mixed_tokens") / F.nullif(F.sum("mixed_tokens").over(Window.partitionBy(F.lit(1))), F.lit(0)))
+        .withColumn("repeats_used", F.coalesce(F.col("last_repeat") + 1, F.lit(0))).drop("last_repeat", "held_tokens", "held_blocks")
+    )
 
 
 def found(documents: DataFrame, targets: DataFrame) -> DataFrame:
-    """Sources whose every permitted repeat is less than their target in a mixture as large as the corpus."""
+    """Sources whose every permitted repeat is less than their target in a mixture as large as the corpus.
+
+    Their slots, drawn at the target weights, run out of blocks; the exact comparison follows.
+    """
     return report(documents, targets).where("short").select("source")

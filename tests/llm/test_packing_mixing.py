@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -67,3 +68,22 @@ def test_blocks_cover_texts(spark):
     rows = [(i, "x" * (i * 7 % 83), "a", None) for i in range(60)]
     got = M.blocks(docs(spark, rows), spark.createDataFrame([("a",)], "source string"), 64).groupBy("doc_id").agg(F.sum(F.col("to_token") - F.col("from_token")).alias("t"), F.min("from_token").alias("f"), F.max("to_token").alias("e")).collect()
     assert {r.doc_id: (r.t, r.f, r.e) for r in got} == {i: (len(t) + 1, 0, len(t) + 1) for i, t, _, _ in rows}
+
+
+def test_flags_come_from_the_draw(spark, monkeypatch):
+    """Without drawn slots no source runs out of blocks, so none is found."""
+    rows = [(i, "x" * 99, "big", None) for i in range(300)] + [(1000 + i, "y" * 49, "small", None) for i in range(20)]
+    targets = spark.createDataFrame([("big", 0.5, 1), ("small", 0.5, 3)], "source string, target_weight double, max_repeats int")
+    assert [r.source for r in M.found(docs(spark, rows), targets).collect()] == ["small"]
+    draws = M._draws
+    monkeypatch.setattr(M, "_draws", lambda *a: draws(*a).withColumn("n", F.lit(0).cast("bigint")))
+    monkeypatch.setattr(M, "MARGIN", 0.0)
+    assert M.found(docs(spark, rows), targets).count() == 0
+
+
+def test_slots_beyond_the_supply_are_drawn_again(spark):
+    """Both sources are allotted almost all they have: no slot is lost while one has blocks left."""
+    rows = pd.DataFrame({"source": ["a", "b", "c"], "blocks": [100, 100, 5000], "max_repeats": [2, 1, 1], "tokens": [6400, 6400, 320_000], "allotted": [12_800.0, 6400.0, 100_000.0]})
+    got = M.slots(spark, rows, 64, 100).groupBy("source").count().collect()
+    have = {r.source: r["count"] for r in got}
+    assert sum(have.values()) == round(119_200 / 64) and have["a"] <= 200 and have["b"] <= 100
