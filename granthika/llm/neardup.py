@@ -15,8 +15,10 @@ A candidate must pass the size filter and a parity bitmap, whose differing bits
 symmetric difference of the sets; both filters lose nothing. What remains is verified exactly.
 
 Scale: the global order comes from counts in a table of fixed size (``SLOTS`` bytes when it is
-broadcast), which only steers efficiency: any order gives the same links. Subsets travel as packed
-arrays, bucketed by hash, the number of buckets following the data. Records with the same words are
+broadcast), which only steers efficiency: any order gives the same links. Tasks' counts are summed by
+groups of tasks first. Subsets travel as packed arrays, bucketed by hash, a task for each bucket and the
+number of buckets following the data. A subset that more than ``HOT`` records may share, as the counts
+tell, is divided: its records fall into blocks, and every pair of blocks is a list of its own. Records with the same words are
 one class from the start, so groups of exact copies cost nothing but their membership rows, and no
 link, component or fingerprint of all records ever reaches the driver.
 
@@ -27,6 +29,7 @@ an empty table gives no rows; very long texts are read whole.
 
 from __future__ import annotations
 
+import logging
 import zlib
 from collections.abc import Iterator
 
@@ -34,6 +37,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,7 +48,13 @@ SLICES = 32
 #: Lower bounds of the classes of sizes.
 CLASSES = (1, 4, 15, 60, 240, 960, 3840, 15360, 61440, 245760)
 FLUSH_RUNS = 2_000_000
-BUCKET_RUNS = 4_000_000
+BUCKET_RUNS = 1_000_000
+#: Records of a list that are compared in one place; longer lists are divided into pairs of such blocks.
+HOT = 8192
+#: Steps an octave in the table of counts.
+OCTAVE = 8
+#: Tasks whose counts are summed before those sums are.
+GROUP_TASKS = 64
 #: So many ids at most (8 bytes each) are broadcast to fetch the texts of candidates; beyond, they are joined.
 BROADCAST_IDS = 500_000
 _M1, _M2, _P = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -117,7 +127,8 @@ def _documents(batches: Iterator[pa.RecordBatch], shingler: Shingler) -> Iterato
 
 
 def _first_pass(width: int, min_words: int):
-    """Membership rows (slice -1) and, per task, counts of the runs by slot in slices."""
+    """Membership rows (slice -1) and, per task, counts of the runs by slot in slices, with the task's group ``part``."""
+    names = ["slice", "part", "counts", "id", "key", "n_words"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(SLOTS, np.int64)
@@ -127,25 +138,38 @@ def _first_pass(width: int, min_words: int):
             _, h = Shingler(width, min_words).runs(docs)
             counts += np.bincount((h & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
             n = len(docs)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, -1, np.int32)), pa.array([None] * n, pa.binary()), pa.array(ids, pa.int64()), pa.array([_key(d) for d in docs], pa.int64()), pa.array([len(d) for d in docs], pa.int32())], names=["slice", "counts", "id", "key", "n_words"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, -1, np.int32)), pa.array(np.full(n, -1, np.int32)), pa.array([None] * n, pa.binary()), pa.array(ids, pa.int64()), pa.array([_key(d) for d in docs], pa.int64()), pa.array([len(d) for d in docs], pa.int32())], names=names)
         if any_docs:
-            for s, part in enumerate(np.split(np.minimum(counts, 2**32 - 1).astype(np.uint32), SLICES)):
-                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary()), pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.int32())], names=["slice", "counts", "id", "key", "n_words"])
+            group = TaskContext.get().partitionId() // GROUP_TASKS
+            for s, part in enumerate(np.split(counts, SLICES)):
+                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([group], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary()), pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.int32())], names=names)
 
     return run
 
 
 def _sum_slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Codes of the summed counts: 0 none, 1 exactly one, then sixteen steps an octave."""
-    sums: dict[int, np.ndarray] = {}
+    """Sums of the slices' counts, by group of tasks where one is given."""
+    sums: dict[tuple[int, int], np.ndarray] = {}
     for pdf in batches:
-        for s, blob in zip(pdf["slice"], pdf["counts"], strict=True):
-            part = np.frombuffer(zlib.decompress(blob), np.uint32).astype(np.int64)
-            sums[s] = sums[s] + part if s in sums else part
-    for s, total in sums.items():
-        code = np.minimum(255, np.floor(12 * np.log2(np.maximum(total, 1))) + 1).astype(np.uint8)
+        for s, part, blob in zip(pdf["slice"], pdf["part"], pdf["counts"], strict=True):
+            counts = np.frombuffer(zlib.decompress(blob), np.int64)
+            sums[s, part] = sums[s, part] + counts if (s, part) in sums else counts
+    for (s, _), total in sums.items():
+        yield pd.DataFrame({"slice": [s], "part": [-1], "counts": [zlib.compress(total.tobytes(), 1)]})
+
+
+def _coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Codes of the summed counts: 0 none, 1 exactly one, then ``OCTAVE`` steps an octave."""
+    for pdf in _sum_slices(batches):
+        total = np.frombuffer(zlib.decompress(pdf["counts"][0]), np.int64)
+        code = np.minimum(255, np.floor(OCTAVE * np.log2(np.maximum(total, 1))) + 1).astype(np.uint8)
         code[total == 0] = 0
-        yield pd.DataFrame({"slice": [s], "codes": [zlib.compress(code.tobytes(), 1)]})
+        yield pd.DataFrame({"slice": pdf["slice"], "codes": [zlib.compress(code.tobytes(), 1)]})
+
+
+def most_of(codes: np.ndarray) -> np.ndarray:
+    """The greatest count that a code stands for."""
+    return np.exp2(codes.astype(float) / OCTAVE)
 
 
 def _least(size: np.ndarray, threshold: float) -> np.ndarray:
@@ -169,7 +193,7 @@ def subsets_of(size: float, bound: int, threshold: float) -> float:
 def list_length(codes: np.ndarray, share: float) -> float:
     """Mean length of the lists that the rarest ``share`` of all postings stand in, as the slots' counts tell."""
     per_code = np.bincount(codes, minlength=256)[1:]
-    count = 2 ** (np.arange(255) / 12)
+    count = 2 ** (np.arange(255) / OCTAVE)
     held = np.cumsum(per_code * count)
     rare = held <= max(share * held[-1], held[np.argmax(held > 0)])
     postings = (per_code * count)[rare].sum()
@@ -203,23 +227,50 @@ def choose_boundary(sizes: dict[int, int], threshold: float, list_length: float)
     return chosen
 
 
-def _bits_words(bound: int) -> int:
-    """64-bit words of the bitmap in a class."""
-    return max(2, min(64, -(-int(6.4 * bound if bound <= 60 else 3.2 * bound) // 64)))
+def map_words(sizes: np.ndarray) -> np.ndarray:
+    """64-bit words of a record's bitmap: a power of two, so that a large one folds onto a small one."""
+    return np.exp2(np.ceil(np.log2(np.clip(2 * sizes, 128, 4096) / 64))).astype(np.int64)
+
+
+def _bitmaps(doc: np.ndarray, h: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Parity bitmaps of all records, one after the other: each run flips one bit of its record's."""
+    starts = np.cumsum(words) - words
+    cell = starts[doc] * 64 + ((h >> np.uint64(17)) % (words[doc] * 64).astype(np.uint64)).astype(np.int64)
+    odd = (np.bincount(cell, minlength=int(words.sum()) * 64) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.uint64)
 
 
-def _bitmaps(doc: np.ndarray, h: np.ndarray, docs: int, words: int) -> np.ndarray:
-    """Parity bitmaps: each run flips one bit of its record's."""
-    bits = words * 64
-    cell = doc * bits + ((h >> np.uint64(17)) % np.uint64(bits)).astype(np.int64)
-    odd = (np.bincount(cell, minlength=docs * bits) & 1).astype(np.uint8)
-    return np.packbits(odd.reshape(docs, bits), axis=1).view(np.uint64)
+def _folded(flat: np.ndarray, start: np.ndarray, words: np.ndarray, k: int, to: int) -> np.ndarray:
+    """Word ``k`` of bitmaps folded to ``to`` words."""
+    out = flat[start + k]
+    for r in range(1, int(words.max() // to)):
+        more = np.flatnonzero(words > r * to)
+        out[more] ^= flat[start[more] + r * to + k]
+    return out
+
+
+def _spread(sig: np.ndarray, doc: np.ndarray, most: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lists that may be longer than ``HOT``, divided into pairs of blocks of their records."""
+    blocks = np.ceil(most / HOT).astype(np.int64)
+    hot = np.flatnonzero(blocks > 1)
+    if not len(hot):
+        return sig, doc
+    n = blocks[hot]
+    mine = (_mix(keys[doc[hot]].view(np.uint64)) % n.astype(np.uint64)).astype(np.int64)
+    at = np.repeat(np.arange(len(hot)), n)
+    other = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+    low, high = np.minimum(mine[at], other), np.maximum(mine[at], other)
+    cold = np.flatnonzero(blocks <= 1)
+    split = _mix(sig[hot][at] + _mix((low * (1 << 31) + high + 1).astype(np.uint64)))
+    return np.concatenate([sig[cold], split]), np.concatenate([doc[cold], doc[hot][at]])
 
 
 def _second_pass(width: int, min_words: int, threshold: float, codes, heavy: int, buckets: int):
     """Subsets and postings of all records as packed arrays: (bucket, class, blob)."""
 
-    def blobs(c: int, sig: np.ndarray, doc: np.ndarray, keys: np.ndarray, sizes: np.ndarray, maps: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+    def blobs(c: int, sig: np.ndarray, doc: np.ndarray, most: np.ndarray, keys: np.ndarray, sizes: np.ndarray, words: np.ndarray, maps: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+        sig, doc = _spread(sig, doc, most, keys)
+        first = np.cumsum(words) - words
         # 32 bits tell the subsets of a bucket apart but for a few, which the bitmaps then reject.
         bucket = ((sig >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
         low = sig & np.uint64((1 << 32) - 1)
@@ -233,10 +284,12 @@ def _second_pass(width: int, min_words: int, threshold: float, codes, heavy: int
             used, at = np.unique(doc[s], return_inverse=True)
             value = low[s]
             step = np.diff(value, prepend=np.uint64(0))
-            head = np.array([len(used), len(value), maps.shape[1]], np.int64).tobytes()
+            n = words[used]
+            mine = np.repeat(first[used] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            head = np.array([len(used), len(value), len(mine)], np.int64).tobytes()
             # Steps above 16 bits are rare: they are kept whole in a list of their own.
             wide = np.flatnonzero(step >= np.uint64(1 << 16))
-            body = [head, np.array([len(wide)], np.int64).tobytes(), wide.astype(np.uint32).tobytes(), step[wide].astype(np.uint32).tobytes(), keys[used].tobytes(), sizes[used].astype(np.int32).tobytes(), maps[used].tobytes(), (step & np.uint64(0xFFFF)).astype(np.uint16).tobytes(), at.astype(np.uint16).tobytes()]
+            body = [head, np.array([len(wide)], np.int64).tobytes(), wide.astype(np.uint32).tobytes(), step[wide].astype(np.uint32).tobytes(), keys[used].tobytes(), sizes[used].astype(np.int32).tobytes(), maps[mine].tobytes(), (step & np.uint64(0xFFFF)).astype(np.uint16).tobytes(), at.astype(np.uint16).tobytes()]
             yield b, c, b"".join(body)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,6 +311,9 @@ def _second_pass(width: int, min_words: int, threshold: float, codes, heavy: int
             sizes = np.bincount(doc, minlength=len(docs))
             at = np.arange(len(doc)) - np.concatenate([[0], np.cumsum(sizes)[:-1]])[doc]
             shared = code > 1
+            words = map_words(sizes)
+            maps = _bitmaps(doc, h, words)
+            most = most_of(code)
             out: list[tuple[int, int, bytes]] = []
             for c, bound in enumerate(CLASSES):
                 top = CLASSES[c + 1] if c + 1 < len(CLASSES) else 1 << 60
@@ -267,12 +323,12 @@ def _second_pass(width: int, min_words: int, threshold: float, codes, heavy: int
                 m = parts_of(bound, threshold)
                 prefix = np.where(role, sizes - _least(np.maximum(sizes, bound), threshold) + m + 1, 0)
                 take = (at < prefix[doc]) & shared
-                d, x = doc[take], h[take]
+                d, x, held = doc[take], h[take], most[take]
                 if m:
                     g = d * m + (_mix(x) % np.uint64(m)).astype(np.int64)
                     o = np.argsort(g, kind="stable")
-                    d, x, g = d[o], x[o], g[o]
-                    sig, of = [], []
+                    d, x, g, held = d[o], x[o], g[o], held[o]
+                    sig, of, long = [], [], []
                     ok = np.arange(len(g))
                     for off in range(1, len(g)):
                         ok = ok[: np.searchsorted(ok, len(g) - off)]
@@ -281,19 +337,20 @@ def _second_pass(width: int, min_words: int, threshold: float, codes, heavy: int
                             break
                         sig.append(_mix(x[ok] * _P + _mix(x[ok + off]) + np.uint64(c)))
                         of.append(d[ok])
+                        long.append(np.minimum(held[ok], held[ok + off]))
                     if not sig:
                         continue
-                    sig, of = np.concatenate(sig), np.concatenate(of)
+                    sig, of, held = np.concatenate(sig), np.concatenate(of), np.concatenate(long)
                 else:
                     sig, of = _mix(x + np.uint64(c + 1)), d
                 if len(sig):
-                    out += blobs(c, sig, of, keys, sizes, _bitmaps(doc, h, len(docs), _bits_words(bound)))
+                    out += blobs(c, sig, of, held, keys, sizes, words, maps)
             role = sizes >= threshold * heavy - 1e-9
             if role.any():
                 prefix = np.where(role, sizes - _least(np.maximum(sizes, heavy) if heavy < 1 << 60 else sizes, threshold) + 1, 0)
                 take = (at < prefix[doc]) & shared
                 if take.any():
-                    out += blobs(len(CLASSES), _mix(h[take] + np.uint64(99)), doc[take], keys, sizes, _bitmaps(doc, h, len(docs), _bits_words(240)))
+                    out += blobs(len(CLASSES), _mix(h[take] + np.uint64(99)), doc[take], most[take], keys, sizes, words, maps)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.binary())], names=["bucket", "class", "blob"])
 
@@ -301,7 +358,7 @@ def _second_pass(width: int, min_words: int, threshold: float, codes, heavy: int
 
 
 def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
-    docs, sigs, words, wide = np.frombuffer(blob, np.int64, 4)
+    docs, sigs, cells, wide = np.frombuffer(blob, np.int64, 4)
     p = 32
 
     def take(kind, n: int) -> np.ndarray:
@@ -311,7 +368,7 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
         return x
 
     where, big = take(np.uint32, wide), take(np.uint32, wide)
-    keys, sizes, maps = take(np.int64, docs), take(np.int32, docs), take(np.uint64, docs * words).reshape(docs, words)
+    keys, sizes, maps = take(np.int64, docs), take(np.int32, docs), take(np.uint64, cells)
     step, at = take(np.uint16, sigs).astype(np.uint64), take(np.uint16, sigs)
     step[where] = big
     return np.cumsum(step), at.astype(np.int64), keys, sizes, maps
@@ -330,10 +387,12 @@ def _candidates(threshold: float, heavy: int):
             sig = np.concatenate([p[0] for p in parts])
             doc = np.concatenate([p[1] + base[i] for i, p in enumerate(parts)])
             keys, sizes, maps = (np.concatenate([p[j] for p in parts]) for j in (2, 3, 4))
+            words = map_words(sizes)
+            starts = np.cumsum(words) - words
             del parts
             # Equal records from different batches are one.
             keys, first, same = np.unique(keys, return_index=True, return_inverse=True)
-            sizes, maps, doc = sizes[first].astype(np.int64), maps[first], same[doc]
+            sizes, words, starts, doc = sizes[first].astype(np.int64), words[first], starts[first], same[doc]
             o = np.argsort(sig, kind="stable")
             sig, doc = sig[o], doc[o]
             again = np.zeros(len(sig), bool)
@@ -366,8 +425,12 @@ def _candidates(threshold: float, heavy: int):
                     keep = np.minimum(na, nb) >= threshold * np.maximum(na, nb) - 1e-9
                     a, b = a[keep], b[keep]
                     differ = np.zeros(len(a), np.int64)
-                    for w in range(maps.shape[1]):
-                        differ += np.bitwise_count(maps[a, w] ^ maps[b, w])
+                    least = np.minimum(words[a], words[b])
+                    for to in np.unique(least):
+                        at_ = np.flatnonzero(least == to)
+                        x, y = a[at_], b[at_]
+                        for k in range(to):
+                            differ[at_] += np.bitwise_count(_folded(maps, starts[x], words[x], k, to) ^ _folded(maps, starts[y], words[y], k, to))
                     keep = differ <= np.floor(slack * (sizes[a] + sizes[b]) + 1e-9)
                     if keep.any():
                         found.append(np.unique(np.stack([keys[a[keep]], keys[b[keep]]], 1), axis=0))
@@ -429,9 +492,10 @@ def near_duplicates(records: DataFrame, id_col: str, text: str, shingle: int = 5
     """
     spark = records.sparkSession
     docs = records.select(F.col(id_col).cast("bigint").alias("id"), F.col(text).alias("text"))
-    seen = settle(docs.mapInArrow(_first_pass(shingle, min_words), "slice int, counts binary, id bigint, key bigint, n_words int"))
+    seen = settle(docs.mapInArrow(_first_pass(shingle, min_words), "slice int, part int, counts binary, id bigint, key bigint, n_words int"))
     members = seen.where("slice = -1").select("id", "key", "n_words")
-    coded = seen.where("slice >= 0").select("slice", "counts").repartition(min(SLICES, 8), "slice").mapInPandas(_sum_slices, "slice int, codes binary").collect()
+    grouped = seen.where("slice >= 0").select("slice", "part", "counts").repartition("slice", "part").mapInPandas(_sum_slices, "slice int, part int, counts binary")
+    coded = grouped.repartition(SLICES, "slice").mapInPandas(_coded, "slice int, codes binary").collect()
     codes = np.zeros(SLOTS, np.uint8)
     for r in coded:
         codes[r.slice * (SLOTS // SLICES) : (r.slice + 1) * (SLOTS // SLICES)] = np.frombuffer(zlib.decompress(r.codes), np.uint8)
@@ -444,7 +508,16 @@ def near_duplicates(records: DataFrame, id_col: str, text: str, shingle: int = 5
     heavy = choose_boundary(sizes, threshold, length) if heavy is None else heavy
     buckets = max(1, -(-total // BUCKET_RUNS))
     packed = docs.mapInArrow(_second_pass(shingle, min_words, threshold, shared, heavy, buckets), "bucket int, class int, blob binary")
-    candidates = settle(packed.groupBy("bucket").applyInPandas(_candidates(threshold, heavy), "key_a bigint, key_b bigint").distinct())
+    logging.getLogger(__name__).info("sets of %s runs or more scan lists; %s of %s records, %s buckets", heavy, sum(n for size, n in sizes.items() if size >= heavy), sum(sizes.values()), buckets)
+    # A task for each bucket: the number is given, so that small ones are not put together again.
+    compare = _candidates(threshold, heavy)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = [pdf for pdf in batches if len(pdf)]
+        for _, part in pd.concat(held).groupby("bucket") if held else ():
+            yield compare(part)
+
+    candidates = settle(packed.repartitionById(buckets, "bucket").mapInPandas(run, "key_a bigint, key_b bigint").distinct())
     return NearDuplicates(members.select("id", "key"), settle(_verified(docs, members, candidates, shingle, min_words, threshold)))
 
 

@@ -69,4 +69,40 @@ def test_boundary_follows_cost():
     assert N.choose_boundary(sizes, 0.6, 500.0) > 100
     assert N.choose_boundary(sizes, 0.6, 1.0) <= 100
     assert N.choose_boundary({100: 1000}, 0.6, 10_000.0) > 100
-    assert N.list_length(np.array([1, 1, 13, 25], np.uint8), 1.0) == (1 + 1 + 4 + 16) / (1 + 1 + 2 + 4)
+    assert N.list_length(np.array([1, 1, 1 + N.OCTAVE, 1 + 2 * N.OCTAVE], np.uint8), 1.0) == (1 + 1 + 4 + 16) / (1 + 1 + 2 + 4)
+
+
+@pytest.mark.parametrize("heavy", [None, 1])
+def test_hot_subsets_are_divided(spark, monkeypatch, heavy):
+    """Every run stands in very many of 20,000 texts; lists are compared in pairs of blocks and lose no pair."""
+    rng = np.random.default_rng(8)
+    n, vocab = 20_000, 60
+    sets = np.argsort(rng.random((n, vocab)), axis=1)[:, :8]
+    held = np.zeros((n, vocab), np.float32)
+    np.put_along_axis(held, sets, 1, axis=1)
+    want = set()
+    for lo in range(0, n, 4000):
+        a, b = np.nonzero(held[lo : lo + 4000] @ held.T >= 7)
+        want |= {(int(x) + lo, int(y)) for x, y in zip(a, b, strict=True) if x + lo < y}
+    monkeypatch.setattr(N, "HOT", 700)
+    df = spark.createDataFrame([(i, " ".join(f"w{x}" for x in s)) for i, s in enumerate(sets.tolist())], "id bigint, text string").repartition(4)
+    got = [tuple(r) for r in N.near_duplicates(df, "id", "text", 1, 0.7, heavy=heavy).pairs().collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 20
+
+
+def test_blocks_of_a_hot_list():
+    keys = np.arange(1000, dtype=np.int64) * 7919
+    sig, doc = N._spread(np.full(1000, 5, np.uint64), np.arange(1000), np.full(1000, 3.2 * N.HOT), keys)
+    lists = {s: set(doc[sig == s]) for s in set(sig.tolist())}
+    assert len(lists) == 10 and max(map(len, lists.values())) < 600
+    together = np.zeros((1000, 1000), bool)
+    for x in lists.values():
+        together[np.ix_(list(x), list(x))] = True
+    assert together.all()
+
+
+def test_bitmaps_fold():
+    h = N._mix(np.arange(1, 400, dtype=np.uint64))
+    small = N._bitmaps(np.zeros(399, int), h, np.array([4]))
+    large = N._bitmaps(np.zeros(399, int), h, np.array([16]))
+    assert [int(N._folded(large, np.array([0]), np.array([16]), k, 4)[0]) for k in range(4)] == small.tolist()
