@@ -17,6 +17,7 @@ each get their rows.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -339,11 +340,32 @@ def read_languages(model: ByteTagger, texts: list[bytes], with_passages: bool =
         yield languages_of(parts), parts
 
 
+def _slice_end(text: bytes, at: int, size: int) -> int:
+    """Where a slice of at most ``size`` bytes from ``at`` on ends: after its last sentence, blank or character."""
+    end = at + size
+    if end >= len(text):
+        return len(text)
+    for marks in ((b". ", b"! ", b"? ", b"\n", "। ".encode()), (b" ",)):
+        cut = max(text.rfind(m, at, end) + len(m) if text.rfind(m, at, end) >= 0 else 0 for m in marks)
+        # The blank may go to the next slice, so that bytes are paired as in the whole text.
+        cut -= (cut - at) % STRIDE
+        if cut > at:
+            return cut
+    while end > at + 1 and text[end] & 0xC0 == 0x80:
+        end -= 1
+    return end
+
+
 def read_long(model: ByteTagger, text: bytes, at_once: int = READ_BYTES) -> tuple[list[tuple[int, int, float]], list[tuple[int, int, int, int, float]]]:
-    """(languages, passages) of a very long text, read whole but a slice at a time, so that memory stays bounded."""
+    """(languages, passages) of a very long text, read whole but a slice at a time, so that memory stays bounded.
+
+    A slice ends with a sentence, or where it has none, with a character.
+    """
     out: list[tuple[int, int, int, int, float]] = []
-    for at in range(0, len(text), at_once):
-        ((_, parts),) = read_languages(model, [text[at : at + at_once]], True)
+    at, end = 0, 0
+    while end < len(text):
+        at, end = end, _slice_end(text, end, at_once)
+        ((_, parts),) = read_languages(model, [text[at:end]], True)
         for a, b, k, w, c in parts:
             a, b = a + at, b + at
             if out and out[-1][2] == k:
@@ -353,15 +375,49 @@ def read_long(model: ByteTagger, text: bytes, at_once: int = READ_BYTES) -> tupl
     return languages_of(out), out
 
 
+#: Models of this process by their samples, the last few of them.
+_FITTED: dict[str, ByteTagger] = {}
+
+
+def main_languages(model: ByteTagger, texts: list[str]) -> list[str | None]:
+    """The language most words of each text are in; None for a text without any."""
+    out: list[str | None] = [None] * len(texts)
+    held: list[int] = []
+    data = [clean(t) for t in texts]
+    size = 0
+    for i in range(len(texts) + 1):
+        if held and (i == len(texts) or size >= READ_BYTES):
+            for k, (langs, _) in zip(held, read_languages(model, [data[k] for k in held]), strict=True):
+                out[k] = model.langs[langs[0][0]] if langs else None
+            held, size = [], 0
+        if i == len(texts) or not data[i].strip():
+            continue
+        if len(data[i]) > 2 * READ_BYTES:
+            langs = read_long(model, data[i])[0]
+            out[i] = model.langs[langs[0][0]] if langs else None
+        else:
+            held.append(i)
+            size += len(data[i])
+    return out
+
+
 def fit(lang_samples: DataFrame, english: DataFrame | None = None) -> ByteTagger:
-    """Train on the labelled samples and, if given, on more English ones (``sample_id``, ``text``)."""
+    """Train on the labelled samples and, if given, on more English ones (``sample_id``, ``text``).
+
+    A model is kept as long as the process, so equal samples train once.
+    """
     rows = lang_samples.where("lang is not null and text is not null").orderBy("sample_id").limit(MOST_SAMPLES).collect()
     if not rows:
         raise ValueError("no labelled samples")
     samples = [(r.lang, r.text) for r in rows]
     if english is not None and any(g == "en" for g, _ in samples):
         samples += [("en", r.text) for r in english.where("text is not null").orderBy("sample_id").limit(MOST_SAMPLES).collect()]
-    return ByteTagger(sorted({g for g, _ in samples})).fit(samples)
+    name = hashlib.sha256(repr(samples).encode("utf-8", "surrogatepass")).hexdigest()
+    if name not in _FITTED:
+        if len(_FITTED) >= 4:
+            _FITTED.clear()
+        _FITTED[name] = ByteTagger(sorted({g for g, _ in samples})).fit(samples)
+    return _FITTED[name]
 
 
 def document_languages(docs: DataFrame, model: ByteTagger, id_col: str = "chapter_id", text: str = "own_text", min_words: int = 1, by_passage: bool = False) -> DataFrame:

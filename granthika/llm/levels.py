@@ -1,13 +1,14 @@
 """Reading level of each document (problem 9).
 
-A linear ranker learns from all pairs of sentences of graded samples which is harder, from syntax
+A linear ranker learns from all pairs of graded documents of different level which is harder, from syntax
 (sentence length, commas, subordination) and vocabulary (word length, syllables, derived endings,
 and the level at which the samples use a word). Isotonic regression turns its scores into levels.
 A document's score is the word-weighted median over its sentences, so a stray sentence, a heading or
 a few lines of figures do not move it.
 
 The model is fitted on the fixed table of samples, at most ``MOST_SAMPLES`` rows; documents are
-scored one by one where they lie, without a shuffle.
+scored one by one where they lie, without a shuffle. The language of a document without a label is read
+by the network of problem 2.
 
 Edge cases: null, blank and non-English texts and those under ``MIN_WORDS`` words have no level and
 no row in ``found``; a text without sentence marks is one sentence, its length is capped.
@@ -22,6 +23,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from granthika.llm import languages
+
 MIN_WORDS = 40
 MOST_SAMPLES = 5_000
 FOLDS = 5
@@ -150,11 +153,12 @@ class LevelModel:
             reader = Reader(word_levels([s for s, k in zip(samples, fold, strict=True) if k != f] or samples))
             for i in np.flatnonzero(fold == f):
                 parts[i] = reader.sentences(samples[i][1])
-        features = np.concatenate([parts[i][0] for i in range(len(samples))])
-        of = np.repeat(y, [len(parts[i][1]) for i in range(len(samples))])
+        parts = [parts[i] for i in range(len(samples))]
+        features = np.concatenate([f for f, _ in parts])
         self.mean, self.scale = features.mean(0), features.std(0) + 1e-6
-        z = (features - self.mean) / self.scale
-        self.weights = rank(z, of, rounds, rate, ridge)
+        # A document stands in a pair as the word-weighted mean of its sentences.
+        whole = np.array([np.average(f, axis=0, weights=n) if len(n) else self.mean for f, n in parts])
+        self.weights = rank((whole - self.mean) / self.scale, y, rounds, rate, ridge)
         scores = np.array([self._score(*parts[i]) for i in range(len(samples))])
         ends, values = isotonic(scores, y)
         levels = sorted({int(v) for v in y})
@@ -182,49 +186,31 @@ def fit(level_samples: DataFrame) -> LevelModel:
     return LevelModel([(r.level, r.text) for r in rows])
 
 
-def function_words(common_words: DataFrame) -> dict[str, frozenset[str]]:
-    """Frequent words by language, from a fixed table."""
-    out: dict[str, set[str]] = {}
-    for r in common_words.where("lang is not null and word is not null").collect():
-        out.setdefault(r.lang, set()).add(r.word.lower())
-    return {k: frozenset(v) for k, v in out.items()}
-
-
-def is_english(text: str, by_lang: dict[str, frozenset[str]], vocabulary: frozenset[str] | dict = frozenset()) -> bool:
-    """Whether frequent English words are at least an eighth of the text and more than any other language's.
+def reading_levels(documents: DataFrame, level_samples: DataFrame, lang_samples: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """``doc_id``, ``level``, ``score``, ``n_words`` of every English document of ``min_words`` words or more.
 
-    Dense academic English has few of them: two thirds of the text standing in the graded samples will do, too.
+    A label is right where it stands; where none does, the network of problem 2 reads the text.
     """
-    words = [w.strip(_STRIP).lower() for w in text.split()]
-    hits = {k: sum(w in v for w in words) for k, v in by_lang.items()}
-    en = hits.pop("en", 0)
-    if not words or en < max(hits.values(), default=0):
-        return False
-    return en >= len(words) / 8 or sum(w in vocabulary for w in words) >= len(words) * 2 / 3
-
-
-def reading_levels(documents: DataFrame, level_samples: DataFrame, common_words: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``doc_id``, ``level``, ``score``, ``n_words`` of every English document of ``min_words`` words or more."""
-    model, by_lang = fit(level_samples), function_words(common_words)
+    model, tagger = fit(level_samples), languages.fit(lang_samples, level_samples)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader = Reader(model.words)
         for pdf in batches:
-            rows = []
-            for i, lang, text in zip(pdf["doc_id"], pdf["lang"], pdf["text"], strict=True):
-                n = len(text.split())
-                if n < min_words:
-                    continue
-                known = isinstance(lang, str) and lang.strip()
-                if (known and known.lower() != "en") or (not known and not is_english(text, by_lang, model.words)):
-                    continue
-                level, score = model.level(reader, text)
-                rows.append((i, level, score, n))
+            if not len(pdf):
+                continue
+            n = pdf["text"].map(lambda t: len(t.split()))
+            pdf, n = pdf[n >= min_words], n[n >= min_words]
+            label = pdf["lang"].map(lambda x: x.strip().lower() if isinstance(x, str) else "")
+            open_ = (label == "").to_numpy()
+            english = (label == "en").to_numpy()
+            if open_.any():
+                english[open_] = [x == "en" for x in languages.main_languages(tagger, list(pdf["text"][open_]))]
+            rows = [(i, *model.level(reader, t), k) for i, t, k in zip(pdf["doc_id"][english], pdf["text"][english], n[english], strict=True)]
             if rows:
                 yield pd.DataFrame(rows, columns=["doc_id", "level", "score", "n_words"])
 
     return documents.where("text is not null").select("doc_id", "lang", "text").mapInPandas(run, "doc_id bigint, level bigint, score double, n_words bigint")
 
 
-def found(documents: DataFrame, level_samples: DataFrame, common_words: DataFrame) -> DataFrame:
-    return reading_levels(documents, level_samples, common_words).select("doc_id", "level")
+def found(documents: DataFrame, level_samples: DataFrame, lang_samples: DataFrame) -> DataFrame:
+    return reading_levels(documents, level_samples, lang_samples).select("doc_id", "level")

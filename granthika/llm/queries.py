@@ -102,7 +102,7 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @REGISTRY.add("p9_found")
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return levels.found(table(spark, sf_dir, "documents"), table(spark, sf_dir, "level_samples"), table(spark, sf_dir, "common_words"))
+    return levels.found(table(spark, sf_dir, "documents"), table(spark, sf_dir, "level_samples"), table(spark, sf_dir, "lang_samples"))
 
 
 P1_SQL = r"""

@@ -338,10 +338,21 @@ def test_levels_held_out(spark):
     easy, hard = next(t for g, t in rows if g == 1), next(t for g, t in rows if g == 4)
     stray = hard + " The cat is on the mat. 12 13 14 15"
     df = spark.createDataFrame([(1, easy, "en"), (2, stray, None), (3, None, "en"), (4, "", "en"), (5, "short text", "en"), (6, hard, "fr"), (6, hard, "en")], "doc_id bigint, text string, lang string")
-    got = sorted(tuple(r) for r in levels.found(df, spark.read.parquet(f"{DATA}/level_samples.parquet"), spark.read.parquet(f"{DATA}/common_words.parquet")).collect())
+    got = sorted(tuple(r) for r in levels.found(df, spark.read.parquet(f"{DATA}/level_samples.parquet"), spark.read.parquet(f"{DATA}/lang_samples.parquet")).collect())
     assert got == [(1, 1), (2, 4), (6, 4)]
 
 
+def test_long_texts_are_cut_at_sentences():
+    text = ("One two three. " * 50).encode()
+    ends, at = [], 0
+    while at < len(text):
+        at = languages._slice_end(text, at, 100)
+        ends.append(at)
+    assert ends[-1] == len(text) and all(text[:e].rstrip().endswith(b".") and e % 2 == 0 for e in ends)
+    deva = "क".encode() * 50
+    assert languages._slice_end(deva, 0, 100) == 99 and languages._slice_end(b"x" * 250, 0, 100) == 100
+
+
 def test_ranker_learns_from_all_pairs(monkeypatch):
     rng = np.random.default_rng(4)
     of = rng.integers(1, 5, 60).astype(float)
