@@ -51,3 +51,33 @@ def packed_rgb(r: Column, g: Column, b: Column) -> Column:
 def phase(seconds: Column, period: float = 3.0, phases: int = 4) -> Column:
     """Phase of a repeating animation."""
     return F.floor(F.pmod(seconds, F.lit(period)) / F.lit(period / phases)).cast("int")
+
+
+def intensity(seconds: Column, period: float = 3.0, phases: int = 4) -> Column:
+    """How far the current phase has come, from 0 to 1: one light fades in by it and the one before out."""
+    part = period / phases
+    return F.pmod(seconds, F.lit(period)) / F.lit(part) - phase(seconds, period, phases)
+
+
+# Colours by name.
+COLOURS = {
+    "off": (0, 0, 0), "black": (0, 0, 0), "on": (255, 255, 255), "white": (255, 255, 255), "red": (255, 0, 0), "green": (0, 255, 0), "blue": (0, 0, 255),
+    "yellow": (255, 200, 0), "purple": (100, 0, 255), "cyan": (0, 255, 255), "orange": (255, 75, 0),
+}
+
+
+def named_rgb(name: Column) -> Column:
+    """A colour's name packed; null for an unknown one."""
+    packed = F.create_map(*[F.lit(x) for k, (r, g, b) in COLOURS.items() for x in (k, r << 16 | g << 8 | b)])
+    return F.try_element_at(packed, name)
+
+
+def parsed_rgb(values: Column) -> Column:
+    """``r,g,b`` packed, each number to its low eight bits; other texts give null."""
+    parts = F.transform(F.split(values, ","), lambda x: F.trim(x).try_cast("int").bitwiseAND(255))
+    return F.when(F.size(parts) == 3, packed_rgb(parts[0], parts[1], parts[2]))
+
+
+def to_byte(value: Column, kind: str) -> Column:
+    """A level as 0 to 255: a fraction (``double``) scaled and cut, a ``boolean`` off or full, a number as it is."""
+    return {"double": (value * F.lit(255.0)).cast("int"), "boolean": F.when(value, 255).otherwise(0)}.get(kind, value)

@@ -137,3 +137,18 @@ def masked(c: Column, keep: int = 4) -> Column:
 def rebased(url: Column, base: str) -> Column:
     """The path of a URL under another base."""
     return F.concat(F.lit(base.rstrip("/")), F.regexp_replace(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/]*", ""))
+
+
+def suffixed(prompt: Column, suffix: str) -> Column:
+    """A prompt with an instruction after it."""
+    return F.concat(prompt, F.lit(suffix))
+
+
+def two_digits(score: Column) -> Column:
+    """A score to two digits."""
+    return F.format_string("%.2f", score)
+
+
+def milliseconds(seconds: Column) -> Column:
+    """A time in whole milliseconds, as it is shown."""
+    return F.concat(F.round(seconds * 1000).cast("bigint").cast("string"), F.lit(" ms"))

@@ -1,9 +1,11 @@
 """Top passages by cosine similarity, sparse and dense.
 
-Scale: the sparse search is a join on terms and a partial sum by (request, item); ranks are limited
-before the shuffle by Spark's window group limit. The dense search takes the queries in blocks of a
-fixed number of rows against all vectors, one matrix product per Arrow batch, keeping the best of
-each batch, so nothing but top-k rows is shuffled.
+Scale: both sides travel as packed blocks of rows, made where the rows lie, without a shuffle. A stated
+query set meets all vectors block by block in one scan; a block of queries and one of vectors give a
+matrix of scores of bounded size, of which only the best ``k`` of each query go on. Queries are sent to
+all executors while their number is at most ``BROADCAST_QUERIES``; beyond, Spark pairs partitions of
+blocks. Nothing passes through the driver. The sparse search reads vectors by item, not postings by
+term, so no term, however frequent, is a key that rows meet under.
 """
 
 from __future__ import annotations
@@ -11,65 +13,119 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from granthika.operators import tfidf
 
 TOP_K = 3
-#: Queries of a dense search that go to the executors at once.
-QUERY_BLOCK = 4096
+#: Rows of a block: queries and vectors.
+QUERY_BLOCK = 1024
+VECTOR_BLOCK = 2048
+BROADCAST_QUERIES = 20_000
+
+
+def _packed(rows: DataFrame, key: str, columns: tuple[str, ...], size: int, prefix: str) -> DataFrame:
+    """Blocks of at most ``size`` rows as bytes: keys, offsets, and the flat values of each list column."""
+    kinds = (np.int64, np.int64, *(np.int32 if c == "terms" else np.float64 for c in columns))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [f"{prefix}{c}" for c in ("keys", "offsets", *columns)]
+        for whole in batches:
+            for at in range(0, whole.num_rows, size):
+                b = whole.slice(at, size)
+                lists = [b.column(i + 1) for i in range(len(columns))]
+                offsets = lists[0].offsets.to_numpy()
+                flat = [x.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]] for x in lists]
+                parts = [b.column(0).to_numpy(), offsets - offsets[0], *flat]
+                yield pa.RecordBatch.from_arrays([pa.array([x.astype(k).tobytes()], pa.binary()) for x, k in zip(parts, kinds, strict=True)], names=names)
+
+    known = rows.where(F.col(key).isNotNull() & F.col(columns[0]).isNotNull()).select(F.col(key).cast("bigint"), *columns)
+    return known.mapInArrow(run, ", ".join(f"{prefix}{c} binary" for c in ("keys", "offsets", *columns)))
+
+
+def _sparse_scores(q: tuple[np.ndarray, ...], v: tuple[np.ndarray, ...]) -> np.ndarray:
+    """Queries x vectors: sums over common terms."""
+    (q_at, q_terms, q_weights), (v_at, v_terms, v_weights) = q, v
+    n, m = len(q_at) - 1, len(v_at) - 1
+    row = np.repeat(np.arange(n), np.diff(q_at))
+    o = np.argsort(q_terms, kind="stable")
+    terms, row, weights = q_terms[o], row[o], q_weights[o]
+    lo, hi = np.searchsorted(terms, v_terms, "left"), np.searchsorted(terms, v_terms, "right")
+    many = hi - lo
+    column = np.repeat(np.repeat(np.arange(m), np.diff(v_at)), many)
+    at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(lo, many)
+    return np.bincount(row[at] * m + column, weights[at] * np.repeat(v_weights, many), n * m).reshape(n, m)
+
+
+def _dense_scores(q: tuple[np.ndarray, ...], v: tuple[np.ndarray, ...]) -> np.ndarray:
+    lengths = np.concatenate([np.diff(q[0]), np.diff(v[0])])
+    if len(lengths) and (lengths != lengths[0]).any():
+        raise ValueError("vectors and queries differ in length")
+    return q[1].reshape(len(q[0]) - 1, -1) @ v[1].reshape(len(v[0]) - 1, -1).T
+
+
+def _best(vectors: DataFrame, queries: DataFrame, columns: tuple[str, ...], k: int, key: str, query: str, positive: bool, block: int | None = None) -> DataFrame:
+    """``query``, ``rn``, ``key``, ``score`` of the ``k`` best; scores are rounded to six digits, ties go to the lesser key."""
+    v = _packed(vectors, key, columns, VECTOR_BLOCK, "v_")
+    q = _packed(queries, query, columns, block or QUERY_BLOCK, "q_")
+    few = queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
+    kinds = (np.int32, np.float64) if len(columns) == 2 else (np.float64,)
+    scored = _sparse_scores if len(columns) == 2 else _dense_scores
+    schema = pa.schema([("q_", pa.int64()), ("v_", pa.int64()), ("score", pa.float64())])
+
+    def side(b: pa.RecordBatch, i: int, prefix: str) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
+        names = ["keys", "offsets", *columns]
+        got = [np.frombuffer(b.column(b.schema.get_field_index(prefix + c))[i].as_buffer(), d) for c, d in zip(names, (np.int64, np.int64, *kinds), strict=True)]
+        return got[0], tuple(got[1:])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                (q_keys, x), (v_keys, y) = side(b, i, "q_"), side(b, i, "v_")
+                s = np.round(scored(x, y), 6)
+                # In order of the keys, so that the first of equal scores has the least.
+                o = np.argsort(v_keys, kind="stable")
+                s, v_keys = s[:, o], v_keys[o]
+                rows = np.arange(len(q_keys))
+                for _ in range(min(k, s.shape[1])):
+                    top = s.argmax(1)
+                    value = s[rows, top]
+                    good = value > (0 if positive else -np.inf)
+                    if not good.any():
+                        break
+                    yield pa.RecordBatch.from_arrays([pa.array(q_keys[good]), pa.array(v_keys[top[good]]), pa.array(value[good])], schema=schema)
+                    s[rows, top] = -np.inf
+
+    found = v.crossJoin(F.broadcast(q) if few else q).mapInArrow(run, "q_ bigint, v_ bigint, score double")
+    kind, qkind = dict(vectors.dtypes)[key], dict(queries.dtypes)[query]
+    named = found.select(F.col("q_").cast(qkind).alias(query), F.col("v_").cast(kind).alias(key), "score")
+    rn = F.row_number().over(Window.partitionBy(query).orderBy(F.desc("score"), F.asc(key)))
+    return named.withColumn("rn", rn).where(F.col("rn") <= k).select(query, "rn", key, "score")
 
 
-def sparse_topk(items: DataFrame, requests: DataFrame, k: int = TOP_K, item: str = "chunk_id", request: str = "request_id", text: str = "text") -> DataFrame:
-    """``request``, ``rn``, ``item``, ``score`` of the best items; requests without a common term have no row.
+def search_vectors(vectors: DataFrame, vocabulary: DataFrame, requests: DataFrame, k: int = TOP_K, item: str = "chunk_id", request: str = "request_id", text: str = "text") -> DataFrame:
+    """``request``, ``rn``, ``item``, ``score`` of the best items of an index; requests without a common term have no row.
 
-    Scores are rounded to six digits before they are ranked; ties go to the lesser item.
+    ``vectors``: ``item``, ``terms``, ``weights``; ``vocabulary``: ``term``, ``term_id``, ``idf``.
     """
+    return _best(vectors, tfidf.vectors(tfidf.term_counts(requests, request, text), vocabulary, request), ("terms", "weights"), k, item, request, True)
+
+
+def sparse_topk(items: DataFrame, requests: DataFrame, k: int = TOP_K, item: str = "chunk_id", request: str = "request_id", text: str = "text") -> DataFrame:
+    """As ``search_vectors``, fitting the items at hand."""
     counts = tfidf.term_counts(items, item, text)
-    vocab = tfidf.vocabulary(counts, items)
-    corpus = tfidf.postings(counts, vocab, item)
-    asked = tfidf.postings(tfidf.term_counts(requests, request, text), vocab, request).withColumnRenamed("weight", "asked")
-    scores = asked.join(corpus, "term").groupBy(request, item).agg(F.round(F.sum(F.col("weight") * F.col("asked")), 6).alias("score")).where("score > 0")
-    rn = F.row_number().over(Window.partitionBy(request).orderBy(F.desc("score"), F.asc(item)))
-    return scores.withColumn("rn", rn).where(F.col("rn") <= k).select(request, "rn", item, "score")
+    vocab = tfidf.with_ids(tfidf.vocabulary(counts, items))
+    return search_vectors(tfidf.vectors(counts, vocab, item), vocab, requests, k, item, request, text)
 
 
-def dense_topk(vectors: DataFrame, queries: DataFrame, k: int = 4, key: str = "vec_id", query: str = "query_id", column: str = "embedding", block: int = QUERY_BLOCK) -> DataFrame:
+def dense_topk(vectors: DataFrame, queries: DataFrame, k: int = 4, key: str = "vec_id", query: str = "query_id", column: str = "embedding", block: int | None = None) -> DataFrame:
     """``query``, ``rn``, ``key``, ``score``: dot products of the stated queries with all vectors.
 
-    Queries are read in blocks by range of their hash; a vector of another length than the queries raises.
+    A vector of another length than the queries raises; null vectors are left out.
     """
-    blocks = max(1, -(-queries.count() // block))
-    kind, qkind = dict(vectors.dtypes)[key], dict(queries.dtypes)[query]
-    hashed = queries.select(query, column, F.pmod(F.xxhash64(query), F.lit(blocks)).alias("block_"))
-    best = None
-    for b in range(blocks):
-        rows = hashed.where(F.col("block_") == b).orderBy(query).collect()
-        if not rows:
-            continue
-        matrix = np.array([r[column] for r in rows], np.float64)
-        ids = [r[query] for r in rows]
-
-        def run(batches: Iterator[pd.DataFrame], matrix=matrix, ids=ids) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                m = np.array([np.asarray(v, np.float64) for v in pdf[column]])
-                if m.ndim != 2 or m.shape[1] != matrix.shape[1]:
-                    raise ValueError("vectors and queries differ in length")
-                scores = np.round(matrix @ m.T, 6)
-                keys = pdf[key].to_numpy()
-                order = np.lexsort((np.broadcast_to(keys, scores.shape), -scores), axis=1)[:, :k]
-                yield pd.DataFrame({query: np.repeat(np.array(ids), order.shape[1]), key: keys[order].ravel(), "score": np.take_along_axis(scores, order, 1).ravel()})
-
-        part = vectors.where(F.col(column).isNotNull()).select(key, column).mapInPandas(run, f"`{query}` {qkind}, `{key}` {kind}, score double")
-        best = part if best is None else best.unionByName(part)
-    if best is None:
-        return vectors.sparkSession.createDataFrame([], f"`{query}` {qkind}, rn int, `{key}` {kind}, score double")
-    rn = F.row_number().over(Window.partitionBy(query).orderBy(F.desc("score"), F.asc(key)))
-    return best.withColumn("rn", rn).where(F.col("rn") <= k).select(query, "rn", key, "score")
+    return _best(vectors, queries, (column,), k, key, query, False, block)
 
 
 def dot(a, b):

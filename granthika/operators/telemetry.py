@@ -66,7 +66,7 @@ def setting_of(message: Column) -> Column:
     """A user interface message as (setting, value), null for others."""
     body = F.substring_index(message, " ", 1)
     name = F.when(body.isin("ASR", "TTS"), F.concat(F.lower(body), F.lit("_language"))).when(body == "MODE", F.lit("mode"))
-    return F.when(name.isNotNull(), F.struct(name.alias("setting"), F.lower(F.trim(F.substring(message, F.length(body) + 2, 1000))).alias("value")))
+    return F.when(name.isNotNull(), F.struct(name.alias("setting"), F.lower(F.trim(F.substring(message, F.length(body) + 2, F.length(message)))).alias("value")))
 
 
 def status_of(free_gb: Column, least: float = 2.0) -> Column:
@@ -99,3 +99,22 @@ def key_value(text: Column) -> Column:
 def first_ipv4(addresses: Column) -> Column:
     """The first address without a colon, else the first."""
     return F.coalesce(F.try_element_at(F.filter(addresses, lambda a: ~a.contains(":")), F.lit(1)), F.try_element_at(addresses, F.lit(1)))
+
+
+def touched(points: DataFrame, height: int = 240) -> DataFrame:
+    """Raw touches as screen points: the display is turned, so the axes change places and one is mirrored."""
+    return points.withColumn("x_", F.col("y")).withColumn("y", F.lit(height) - F.col("x")).withColumn("x", F.col("x_")).drop("x_")
+
+
+def radio_selection(hits: DataFrame, order: str = "point_id", passing: tuple[str, ...] = ("Reset", "Reboot", "Shutdown")) -> DataFrame:
+    """``group`` and ``label``: the button selected last in each group, a group being labels with the same first word.
+
+    Buttons that act at once are never selected, but a hit on one clears its group, too.
+    """
+    last = hits.groupBy(F.substring_index("label", " ", 1).alias("group")).agg(F.max_by("label", F.struct(order, "label")).alias("label"))
+    return last.where(~F.col("label").isin(*passing))
+
+
+def payload_status(body: Column) -> Column:
+    """State of a service by what it answered: FAIL without a body, WARN for one that is no JSON, else PASS."""
+    return F.when(body.isNull() | (body == ""), "FAIL").when(F.try_parse_json(body).isNull(), "WARN").otherwise("PASS")

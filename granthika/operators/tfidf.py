@@ -49,6 +49,13 @@ def postings(counts: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
     return items.select(key, "norm", F.inline("terms_")).select(key, "term", (F.col("raw") / F.col("norm")).alias("weight"))
 
 
+def vectors(counts: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
+    """``key``, ``terms`` (ids), ``weights``: as ``postings``, one row for each item; ``vocab`` has ``term_id``."""
+    raw = counts.join(vocab.select("term", "term_id", "idf"), "term").select(key, "term_id", ((F.log("tf") + 1) * F.col("idf")).alias("raw"))
+    items = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"), F.collect_list(F.struct("term_id", "raw")).alias("t_"))
+    return items.select(key, F.transform("t_", lambda t: t["term_id"].cast("int")).alias("terms"), F.transform("t_", lambda t: t["raw"] / F.col("norm")).alias("weights"))
+
+
 def norms(counts: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
     """Length of each item's raw vector; items without a vocabulary term have none."""
     return counts.join(vocab.select("term", "idf"), "term").groupBy(key).agg(F.sqrt(F.sum(F.pow((F.log("tf") + 1) * F.col("idf"), 2))).alias("norm"))

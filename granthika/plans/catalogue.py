@@ -3,16 +3,15 @@
 from __future__ import annotations
 
 import math
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from granthika.functions import signal as S
 from granthika.functions import text as T
-from granthika.operators import chunking, grounding, harvest, providers, search, telemetry, tfidf
+from granthika.operators import chunking, grounding, harvest, index, providers, search, telemetry, tfidf
 from granthika.registry import Registry
-from granthika.session import settle, shared_dir, table
+from granthika.session import scratch, settle, table
 from granthika.sources import files
 from granthika.streaming import operators as streams
 
@@ -71,8 +70,21 @@ def requests(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "interactions").select("id", text.alias("text")).where("text <> ''").groupBy("text").agg(F.min("id").alias("request_id")).select("request_id", "text")
 
 
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
+def stored_index(spark: SparkSession, sf: str) -> index.Index:
+    """The index of the chunks, built by the first search of a session and read by all others."""
+    name = (spark.sparkContext.applicationId, sf)
+    if name not in _INDEXES:
+        path = scratch(spark, "index")
+        index.build(table(spark, sf, "chunks").drop("corpus"), path, "all", GATE)
+        _INDEXES[name] = path
+    return index.Index(spark, _INDEXES[name])
+
+
 def ranked(spark: SparkSession, sf: str) -> DataFrame:
-    return search.sparse_topk(table(spark, sf, "chunks").select("chunk_id", "text"), requests(spark, sf))
+    return stored_index(spark, sf).search(requests(spark, sf))
 
 
 def counts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -112,7 +124,7 @@ def tfidf_norms(spark, sf):
     return tfidf.norms(c, v, "chunk_id").withColumn("norm", F.round("norm", 6))
 
 
-@query("tfidf_unit_check", f"WITH {FIT_SQL} SELECT count(*) AS vectors, count(*) AS unit FROM norms")
+@query("tfidf_unit_check", f"WITH {FIT_SQL} SELECT count(*) AS vectors, CAST(count_if(abs(l - 1) < 1e-9) AS BIGINT) AS unit FROM (SELECT r.chunk_id, sum((w / norm) * (w / norm)) AS l FROM raw r JOIN norms USING (chunk_id) GROUP BY r.chunk_id)")
 def tfidf_unit_check(spark, sf):
     c, v = counts(spark, sf)
     length = tfidf.postings(c, v, "chunk_id").groupBy("chunk_id").agg(F.sum(F.col("weight") * F.col("weight")).alias("l"))
@@ -131,6 +143,22 @@ def retrieval_topk(spark, sf):
     return ranked(spark, sf)
 
 
+@query("index_search", RANK_SQL + "SELECT request_id, rn, chunk_id, score, coalesce(text, '') AS text, coalesce(content_id, 'unknown') AS content_id, coalesce(chapter, '') AS chapter, coalesce(section, '') AS section, coalesce(page, 0) AS page, coalesce(source, 'all') AS source FROM ranked JOIN chunks USING (chunk_id)")
+def index_search(spark, sf):
+    """Passages of the stored index: what was found, joined to the chunks by their id."""
+    built = stored_index(spark, sf)
+    return built.passages(built.search(requests(spark, sf)))
+
+
+@query("index_manifest", f"WITH {FIT_SQL} SELECT (SELECT count(*) FROM chunks) AS num_chunks, (SELECT count(DISTINCT content_id) FROM chunks) AS num_documents, CAST((SELECT count(*) FROM vocab) AS INTEGER) AS dim, (SELECT count(*) FROM norms) AS vectors, (SELECT count(*) FROM norms) AS unit")
+def index_manifest(spark, sf):
+    """What the stored manifest tells, and how many stored vectors have unit length."""
+    built = stored_index(spark, sf)
+    length = F.aggregate("weights", F.lit(0.0), lambda a, x: a + x * x)
+    unit = built.vectors.agg(F.count("*").alias("vectors"), F.count_if(F.abs(length - 1) < 1e-9).alias("unit"))
+    return built.manifest.select("num_chunks", "num_documents", "dim").crossJoin(unit)
+
+
 @query("retrieval_gate", RANK_SQL + GATE_SQL + " SELECT * FROM gated")
 def retrieval_gate(spark, sf):
     return grounding.gate(requests(spark, sf), ranked(spark, sf), F.lit(GATE))
@@ -442,9 +470,11 @@ def timings_total(spark, sf):
     return table(spark, sf, "interactions").where("timestamps is not null").select("id", F.unix_micros("received_at").alias("received_us"), F.round(telemetry.total_seconds(m), 6).alias("seconds"))
 
 
-@query("first_audio", "SELECT CAST(received_at AS DATE) AS day, min(timestamps.app_end) AS first_end, count(*) AS n FROM interactions GROUP BY day")
+@query("first_audio", "SELECT id, round(min(timestamps.app_end - timestamps.audio_stop), 6) AS seconds FROM interactions WHERE timestamps.app_end IS NOT NULL AND timestamps.audio_stop IS NOT NULL GROUP BY id")
 def first_audio(spark, sf):
-    return table(spark, sf, "interactions").groupBy(F.to_date("received_at").alias("day")).agg(F.min("timestamps.app_end").alias("first_end"), F.count("*").alias("n"))
+    """Seconds from the end of each request to its first answer; a request logged twice counts with the first."""
+    i = table(spark, sf, "interactions").where("timestamps.app_end is not null and timestamps.audio_stop is not null")
+    return i.groupBy("id").agg(F.round(F.min(F.col("timestamps.app_end") - F.col("timestamps.audio_stop")), 6).alias("seconds"))
 
 
 @query("epoch_ids", "SELECT DISTINCT id, make_timestamp(id * 1000) AS asked_at, strftime(make_timestamp(id * 1000), '%Y-%m-%d') AS day FROM interactions")
@@ -525,18 +555,60 @@ def settings_overlay(spark, sf):
 
 
 _MESSAGES = ("BT0", "BT1", "BA1", "dOK", "CASR hi", "CReset", "x")
-_UI = ("ASR Hi", "TTS EN", "MODE Demo", "Reset")
+_UI = ("ASR Hi", "TTS EN", "MODE Demo", "Reset", "ASR ta ")
+
 
+def _messages(spark: SparkSession, sf: str, kinds: tuple[str, ...]) -> DataFrame:
+    """A message for each event, by its number."""
+    by = F.array(*[F.lit(m) for m in kinds])
+    return table(spark, sf, "events").select("event_id", F.get(by, (F.col("event_id") % len(kinds)).cast("int")).alias("message"))
 
-@query("event_routing", "SELECT * FROM (VALUES ('BT0', 'trigger_down'), ('BT1', 'trigger_up'), ('BA1', 'button'), ('dOK', 'ready'), ('CASR hi', 'command'), ('CReset', 'command'), ('x', 'other')) v(message, route)")
+
+@query("event_routing", "SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'trigger_down' WHEN 1 THEN 'trigger_up' WHEN 2 THEN 'button' WHEN 3 THEN 'ready' WHEN 6 THEN 'other' ELSE 'command' END AS route FROM events")
 def event_routing(spark, sf):
-    return spark.createDataFrame([(m,) for m in _MESSAGES], "message string").withColumn("route", telemetry.routed(F.col("message")))
+    return _messages(spark, sf, _MESSAGES).select("event_id", telemetry.routed(F.col("message")).alias("route"))
 
 
-@query("interface_settings", "SELECT * FROM (VALUES ('ASR Hi', 'asr_language', 'hi'), ('TTS EN', 'tts_language', 'en'), ('MODE Demo', 'mode', 'demo')) v(message, setting, value)")
+@query("interface_settings", "SELECT event_id, CASE event_id % 5 WHEN 1 THEN 'tts_language' WHEN 2 THEN 'mode' ELSE 'asr_language' END AS setting, CASE event_id % 5 WHEN 0 THEN 'hi' WHEN 1 THEN 'en' WHEN 2 THEN 'demo' ELSE 'ta' END AS value FROM events WHERE event_id % 5 <> 3")
 def interface_settings(spark, sf):
-    d = spark.createDataFrame([(m,) for m in _UI], "message string").withColumn("s", telemetry.setting_of(F.col("message")))
-    return d.where("s is not null").select("message", "s.setting", "s.value")
+    d = _messages(spark, sf, _UI).withColumn("s", telemetry.setting_of(F.col("message")))
+    return d.where("s is not null").select("event_id", "s.setting", "s.value")
+
+
+@query("rgb_message", "SELECT p_partkey, CAST(((p_partkey % 300) & 255) * 65536 + (p_size & 255) * 256 + ((p_partkey * 7 % 1000) & 255) AS INTEGER) AS rgb FROM part")
+def rgb_message(spark, sf):
+    """Colours of a strip's messages, as text."""
+    text = F.concat_ws(", ", (F.col("p_partkey") % 300).cast("string"), F.col("p_size").cast("string"), (F.col("p_partkey") * 7 % 1000).cast("string"))
+    return table(spark, sf, "part").select("p_partkey", S.parsed_rgb(text).alias("rgb"))
+
+
+@query("rgb_named", "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 16762880 WHEN 1 THEN 6553855 WHEN 2 THEN 16730880 END AS rgb, CAST(trunc(p_size / 50.0::DOUBLE * 255.0::DOUBLE) AS INTEGER) AS level FROM part")
+def rgb_named(spark, sf):
+    name = F.get(F.array(*[F.lit(x) for x in ("yellow", "purple", "orange", "no colour")]), (F.col("p_partkey") % 4).cast("int"))
+    return table(spark, sf, "part").select("p_partkey", S.named_rgb(name).alias("rgb"), S.to_byte(F.col("p_size") / F.lit(50.0), "double").alias("level"))
+
+
+@query("phase_intensity", "SELECT event_id, round((value - 3.0 * floor(value / 3.0)) / 0.75 - floor((value - 3.0 * floor(value / 3.0)) / 0.75), 6) AS intensity FROM events WHERE value >= 0")
+def phase_intensity(spark, sf):
+    return table(spark, sf, "events").where("value >= 0").select("event_id", F.round(S.intensity(F.col("value")), 6).alias("intensity"))
+
+
+@query("radio_selection", "WITH b(label, x0, y0, w, h) AS (VALUES " + ", ".join(f"({q(n)}, {a}, {b}, {c}, {d})" for n, a, b, c, d in BOXES) + "), h AS (SELECT p_partkey AS n, label, split_part(label, ' ', 1) AS g FROM part, b WHERE p_size * 4 >= x0 AND p_size * 4 < x0 + w AND p_retailprice >= y0 AND p_retailprice < y0 + h) SELECT g AS \"group\", label FROM h WHERE label <> 'Reset' QUALIFY row_number() OVER (PARTITION BY g ORDER BY n DESC, label DESC) = 1")
+def radio_selection(spark, sf):
+    """The language selected last on a touch screen, from raw touches."""
+    raw = table(spark, sf, "part").select(F.col("p_partkey").alias("point_id"), (F.lit(240) - F.col("p_retailprice")).alias("x"), (F.col("p_size") * 4).alias("y"))
+    return telemetry.radio_selection(telemetry.hit_test(telemetry.touched(raw), spark.createDataFrame(BOXES, "label string, x0 int, y0 int, w int, h int")))
+
+
+@query("payload_status", "SELECT id, epoch_us(received_at) AS received_us, CASE WHEN response IS NULL OR response = '' THEN 'FAIL' WHEN NOT json_valid(response) THEN 'WARN' ELSE 'PASS' END AS status FROM interactions")
+def payload_status(spark, sf):
+    return table(spark, sf, "interactions").select("id", F.unix_micros("received_at").alias("received_us"), telemetry.payload_status(F.col("response")).alias("status"))
+
+
+@query("score_display", "SELECT id, epoch_us(received_at) AS received_us, CAST(CAST(round((timestamps.llm_end - timestamps.llm_start) * 1000) AS BIGINT) AS VARCHAR) || ' ms' AS shown, query.text || ' Answer briefly.' AS prompt FROM interactions")
+def score_display(spark, sf):
+    took = F.col("timestamps.llm_end") - F.col("timestamps.llm_start")
+    return table(spark, sf, "interactions").select("id", F.unix_micros("received_at").alias("received_us"), T.milliseconds(took).alias("shown"), T.suffixed(F.col("query.text"), " Answer briefly.").alias("prompt"))
 
 
 @query("serial_framing", "SELECT CAST(row_number() OVER () AS INTEGER) - 1 AS pos, m AS message FROM (SELECT unnest(['BT0', 'BT1', 'dOK']) AS m)")
@@ -572,10 +644,13 @@ def hardware_probe(spark, sf):
     return raw.select("id", F.when(F.startswith("b", F.unhex(F.lit("AABB"))), "handheld").when(F.startswith("b", F.unhex(F.lit("CC"))), "desk").otherwise("none").alias("board"))
 
 
-@query("first_address", "SELECT * FROM (VALUES (1, '100.64.0.1'), (2, 'fe80::1'), (3, NULL)) v(host, address)")
+@query("first_address", "SELECT s_suppkey AS host, CASE s_suppkey % 3 WHEN 0 THEN '100.64.0.' || s_suppkey WHEN 1 THEN 'fe80::' || s_suppkey END AS address FROM supplier")
 def first_address(spark, sf):
-    raw = spark.createDataFrame([(1, ["fe80::1", "100.64.0.1", "10.0.0.1"]), (2, ["fe80::1"]), (3, [])], "host int, ips array<string>")
-    return raw.select("host", telemetry.first_ipv4(F.col("ips")).alias("address"))
+    """The address to reach each host at, from those it tells of."""
+    n = F.col("s_suppkey").cast("string")
+    six, four = F.concat(F.lit("fe80::"), n), F.concat(F.lit("100.64.0."), n)
+    ips = F.when(F.col("s_suppkey") % 3 == 0, F.array(six, four, F.lit("10.0.0.1"))).when(F.col("s_suppkey") % 3 == 1, F.array(six)).otherwise(F.array().cast("array<string>"))
+    return table(spark, sf, "supplier").select(F.col("s_suppkey").alias("host"), telemetry.first_ipv4(ips).alias("address"))
 
 
 # ---- samples ----------------------------------------------------------------------------------
@@ -618,7 +693,7 @@ def index_roundtrip(spark, sf):
     c, v = counts(spark, sf)
     ids = settle(tfidf.with_ids(v))
     posted = tfidf.postings(c, v, "chunk_id")
-    path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    path = scratch(spark, "index")
     fields = [f.split()[0] for f in files.CHUNK.split(", ")]
     manifest = files.build_manifest(chunks, "tfidf", "tfidf", ids.count(), 120, 25, "all", GATE)
     files.write_index(path, chunks.select(fields), ids, posted, manifest)
@@ -628,19 +703,19 @@ def index_roundtrip(spark, sf):
     return back.agg(F.count("*").alias("chunks")).crossJoin(terms.agg(F.count("*").alias("terms"))).crossJoin(spark.read.parquet(f"{path}/vectors").agg(F.count("*").alias("postings"))).withColumn("changed", F.lit(changed).cast("bigint"))
 
 
-@query("wav_roundtrip", "SELECT count(DISTINCT user_id) AS clips, count(DISTINCT user_id) AS same FROM events")
+@query("wav_roundtrip", "SELECT user_id, count(*) AS samples, CAST(sum(CAST(round(value * 37) AS INTEGER) % 30000) AS BIGINT) AS total, CAST(44 + 2 * count(*) AS BIGINT) AS bytes FROM events GROUP BY user_id")
 def wav_roundtrip(spark, sf):
     """Samples to WAV and back."""
     hexed = F.array_join(F.transform("s", lambda x: F.concat(F.lpad(F.hex(F.pmod(x, F.lit(256))), 2, "0"), F.lpad(F.hex(F.pmod(F.shiftright(x.cast("int"), 8), F.lit(256))), 2, "0"))), "")
     clips = pcm(spark, sf).select("user_id", "s", F.unhex(hexed).alias("pcm"))
-    back = clips.withColumn("clip", files.wav_decoded(files.wav_encoded("pcm", F.lit(16000), F.lit(2), F.lit(1))))
+    back = clips.withColumn("wav", files.wav_encoded("pcm", F.lit(16000), F.lit(2), F.lit(1))).withColumn("clip", files.wav_decoded("wav"))
     heard = files.recorded(back).withColumn("t", files.pcm_samples("pcm"))
-    return heard.agg(F.count("*").alias("clips"), F.count_if(F.col("t") == F.col("s")).alias("same"))
+    return heard.select("user_id", F.size("t").cast("bigint").alias("samples"), F.aggregate("t", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total"), F.octet_length("wav").cast("bigint").alias("bytes"))
 
 
 def _streamed(spark: SparkSession, rows: DataFrame, op, schema: str, name: str) -> DataFrame:
     """Run a stream operator over rows written as files, one for each batch, and read what it wrote."""
-    base = f"{shared_dir(spark)}/stream-{name}-{uuid.uuid4().hex}"
+    base = scratch(spark, f"stream-{name}")
     # One file after the other: a file stream takes them in the order in which they were written.
     low, high = rows.approxQuantile("seq", [1 / 3, 2 / 3], 0.01) or (0.0, 0.0)
     for part in (F.col("seq") <= low, (F.col("seq") > low) & (F.col("seq") <= high), F.col("seq") > high):
@@ -669,7 +744,38 @@ def stream_framing(spark, sf):
     return _streamed(spark, rows, streams.frames, "stream_id string, index int, text string", "frames")
 
 
-@query("stream_debounce")
+@query("stream_debounce", """
+WITH RECURSIVE o AS (SELECT CAST(user_id AS VARCHAR) AS k, epoch_us(ts) / 1e6 AS t, event_type AS v, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+r AS (
+  SELECT k, n, t, v, true AS taken FROM o WHERE n = 1
+  UNION ALL
+  SELECT k, n, CASE WHEN taken THEN t ELSE last_t END, CASE WHEN taken THEN v ELSE last_v END, taken
+  FROM (SELECT o.k, o.n, o.t, o.v, r.t AS last_t, r.v AS last_v, o.v <> r.v AND o.t - r.t > 3600 AS taken FROM r JOIN o ON o.k = r.k AND o.n = r.n + 1)
+) SELECT k AS key, t AS "at", v AS value FROM r WHERE taken""")
 def stream_debounce(spark, sf):
     rows = _events(spark, sf).select(F.col("user_id").cast("string").alias("key"), F.unix_micros("ts").alias("seq"), (F.unix_micros("ts") / 1e6).alias("at"), F.col("event_type").alias("value"))
     return _streamed(spark, rows, lambda s: streams.debounced(s, 3600.0), "key string, at double, value string", "debounce")
+
+
+_STREAMED_SQL = f"""
+WITH a AS (SELECT CAST(id AS VARCHAR) AS stream_id, coalesce(max(json_extract_string(response, '$.answer_en')), '') AS t, coalesce(bool_or(TRY_CAST(json_extract(response, '$.refused') AS BOOLEAN)), false) AS gated, coalesce(max(array_to_string(CAST(json_extract(response, '$.citations') AS VARCHAR[]), ' | ')), '') AS c
+  FROM interactions WHERE response IS NOT NULL AND response <> '' AND json_valid(response) GROUP BY id),
+s AS (SELECT stream_id, gated, c, list_filter(list_transform(regexp_extract_all(t, {q(T.SENTENCE)}), lambda x: {trim_sql('x')}), lambda x: x <> '') AS l FROM a),
+d AS (SELECT *, gated OR (len(l) > 0 AND ({_refusal_sql('l[1]')})) AS refused FROM s),
+k AS (SELECT stream_id, c, list_filter(list_transform(l, lambda x: {_clean_sql('x')}), lambda x: x <> '') AS l FROM d WHERE NOT refused)
+SELECT stream_id, CAST(0 AS INTEGER) AS "index", {q(grounding.REFUSAL_TEXT)} AS text_en, true AS refused, '' AS citations FROM d WHERE refused
+UNION ALL SELECT stream_id, CAST(i - 1 AS INTEGER), l[i], false, CASE WHEN i = 1 THEN c ELSE '' END FROM k, LATERAL (SELECT unnest(range(1, len(l) + 1)) AS i)
+"""
+
+
+@query("stream_answers", _STREAMED_SQL)
+def stream_answers(spark, sf):
+    """Logged answers streamed in three pieces and an end, behind the gate that the log tells of."""
+    made = F.coalesce(F.max("r.answer_en"), F.lit("")).alias("t"), F.coalesce(F.bool_or("r.refused"), F.lit(False)).alias("gated"), F.coalesce(F.max(F.array_join("r.citations", " | ")), F.lit("")).alias("c")
+    a = responses(spark, sf).where("r is not null and response <> ''").groupBy("id").agg(*made)
+    third = F.expr("length(t) div 3")
+    pieces = [F.substring("t", F.lit(1), third), F.substring("t", third + 1, third), F.expr("substring(t, 2 * (length(t) div 3) + 1)"), F.lit("")]
+    cut = F.array(*[F.struct(F.lit(i).alias("seq"), p.alias("chunk"), F.lit(i == 3).alias("eos")) for i, p in enumerate(pieces)])
+    rows = a.select(F.col("id").cast("string").alias("stream_id"), "gated", F.filter(F.split("c", r" \| "), lambda x: x != "").alias("citations"), F.inline(cut))
+    out = _streamed(spark, rows, streams.answers, "stream_id string, index int, text_en string, refused boolean, citations array<string>, reason string", "answers")
+    return out.select("stream_id", "index", "text_en", "refused", F.array_join("citations", " | ").alias("citations"))

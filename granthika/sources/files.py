@@ -5,10 +5,14 @@ from __future__ import annotations
 import io
 import wave
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from granthika.session import file_system, replace_folder
+
 CHUNK = "text STRING, content_id STRING, chapter STRING, section STRING, page INT, source STRING, license STRING, chunk_index INT"
 CORPUS = (
     "collection STRUCT<name STRING, board STRING, medium STRING, gradeLevel STRING, subject STRING, license STRING, source STRING, harvested_at STRING, note STRING>, "
@@ -30,16 +34,19 @@ def read_corpus(spark: SparkSession, path: str, default_source: str = "") -> Dat
     )
 
 
-def read_chunks(spark: SparkSession, path: str) -> DataFrame:
-    """Chunks as JSON lines; a malformed line raises, blank lines are passed over."""
-    return spark.read.schema(CHUNK).option("mode", "FAILFAST").json(path)
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = file_system(spark, path)
+    return fs.exists(p)
+
+
+def read_chunks(spark: SparkSession, path: str, keyed: bool = False) -> DataFrame:
+    """Chunks as JSON lines, with their ``chunk_id`` if ``keyed``; a malformed line raises, blank lines are passed over."""
+    return spark.read.schema(f"chunk_id BIGINT, {CHUNK}" if keyed else CHUNK).option("mode", "FAILFAST").json(path)
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """The manifest's row, no row where there is no such file."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+    if not exists(spark, path):
         return spark.createDataFrame([], MANIFEST)
     return spark.read.schema(MANIFEST).option("multiLine", True).json(path)
 
@@ -66,11 +73,12 @@ def build_manifest(chunks: DataFrame, embedder: str, backend: str, dim: int, max
 
 
 def write_index(path: str, chunks: DataFrame, vocabulary: DataFrame, vectors: DataFrame, manifest: DataFrame) -> None:
-    """Chunks and manifest as JSON, vocabulary and vectors as Parquet; each is committed whole."""
-    chunks.write.mode("overwrite").json(f"{path}/chunks")
-    vocabulary.write.mode("overwrite").parquet(f"{path}/vocabulary")
-    vectors.write.mode("overwrite").parquet(f"{path}/vectors")
-    manifest.coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
+    """Chunks and manifest as JSON, vocabulary and vectors as Parquet; all of them take the old ones' place at once."""
+    with replace_folder(chunks.sparkSession, path) as part:
+        chunks.write.json(f"{part}/chunks")
+        vocabulary.write.parquet(f"{part}/vocabulary")
+        vectors.write.parquet(f"{part}/vectors")
+        manifest.coalesce(1).write.json(f"{part}/manifest")
 
 
 def append_log(rows: DataFrame, path: str) -> None:
@@ -78,40 +86,47 @@ def append_log(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 
 
-@F.udf(_CLIP)
-def wav_decoded(data: bytes | None):
-    """Frames and header of a WAV file; what is none gives an error instead of failing the job."""
+def _decoded(data: bytes | None) -> tuple | None:
     if data is None:
         return None
     try:
-        with wave.open(io.BytesIO(bytes(data))) as w:
+        with wave.open(io.BytesIO(data)) as w:
             return w.readframes(w.getnframes()), w.getframerate(), w.getsampwidth(), w.getnchannels(), None
     except (wave.Error, EOFError) as e:
         return None, None, None, None, str(e) or "no WAV file"
 
 
-@F.udf(T.BinaryType())
-def wav_encoded(pcm: bytes | None, rate: int, width: int, channels: int):
-    if pcm is None:
-        return None
+@F.pandas_udf(_CLIP)
+def _wav_read(data: pd.Series) -> pd.DataFrame:
+    rows = [_decoded(None if x is None else bytes(x)) or (None,) * 5 for x in data]
+    out = pd.DataFrame(rows, columns=[f.name for f in _CLIP.fields])
+    return out.astype({c: "Int32" for c in ("sample_rate", "sample_width", "channels")})
+
+
+def wav_decoded(data: Column | str) -> Column:
+    """Frames and header of a WAV file; what is none gives an error instead of failing the job, null stays null."""
+    c = F.col(data) if isinstance(data, str) else data
+    return F.when(c.isNotNull(), _wav_read(c))
+
+
+def _encoded(pcm: bytes, rate: int, width: int, channels: int) -> bytes:
     out = io.BytesIO()
     with wave.open(out, "wb") as w:
         w.setnchannels(channels)
         w.setsampwidth(width)
         w.setframerate(rate)
-        w.writeframes(bytes(pcm))
+        w.writeframes(pcm)
     return out.getvalue()
 
 
-@F.udf(T.ArrayType(T.ShortType()))
-def pcm_samples(pcm: bytes | None):
-    import array
+@F.pandas_udf(T.BinaryType())
+def wav_encoded(pcm: pd.Series, rate: pd.Series, width: pd.Series, channels: pd.Series) -> pd.Series:
+    return pd.Series([None if p is None else _encoded(bytes(p), int(r), int(w), int(c)) for p, r, w, c in zip(pcm, rate, width, channels, strict=True)], dtype=object)
 
-    if pcm is None:
-        return None
-    a = array.array("h")
-    a.frombytes(bytes(pcm)[: len(pcm) // 2 * 2])
-    return a.tolist()
+
+@F.pandas_udf(T.ArrayType(T.ShortType()))
+def pcm_samples(pcm: pd.Series) -> pd.Series:
+    return pd.Series([None if p is None else np.frombuffer(bytes(p)[: len(p) // 2 * 2], "<i2") for p in pcm], dtype=object)
 
 
 def recorded(clips: DataFrame) -> DataFrame:

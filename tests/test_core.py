@@ -1,6 +1,7 @@
 import json
 import math
 import os
+import shutil
 import random
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from granthika.functions import signal as S
 from granthika.functions import text as T
-from granthika.operators import chunking, grounding, harvest, providers, search, telemetry, tfidf
+from granthika.operators import chunking, grounding, harvest, index, providers, search, telemetry, tfidf
 from granthika.plans import catalogue
 from granthika.sources import files, rest
 from granthika.streaming import operators as streams
@@ -362,3 +363,122 @@ def test_stream_correlation(spark, tmp_path):
     a.write.parquet(str(tmp_path / "a"))
     got = memory(spark, streams.correlated(spark.readStream.schema(q.schema).parquet(str(tmp_path / "q")), spark.readStream.schema(a.schema).parquet(str(tmp_path / "a"))), "pairs_", "append")
     assert [(r.q, r.a) for r in got.collect()] == [(1, 10)]
+
+
+def test_stream_rows_of_a_trigger_are_put_in_order(spark, tmp_path):
+    """More rows of a key than an Arrow batch holds, in any order."""
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        rows = [("a", 2 * i + j, f"Number {i} " if j == 0 else "is here.", False) for i in range(200) for j in range(2)] + [("a", 400, "", True)]
+        random.Random(0).shuffle(rows)
+        got = run_stream(spark, tmp_path, [rows], "stream_id string, seq int, chunk string, eos boolean", streams.sentences).orderBy("index").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert [r.text for r in got] == [f"Number {i} is here." for i in range(200)]
+
+
+def test_ended_streams_leave_no_state(spark, tmp_path):
+    schema = "stream_id string, seq int, chunk string, eos boolean, gated boolean, citations array<string>"
+    for i in range(10):
+        spark.createDataFrame([(f"s{i}", 0, "One. Two", False, False, ["c"]), (f"s{i}", 1, "", True, False, ["c"])], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    seen = []
+    query = streams.delivered(streams.answers(src), str(tmp_path / "cp"), lambda df, n: seen.extend(df.collect()))
+    query.awaitTermination()
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] == 0
+    assert sorted((r.stream_id, r["index"], r.text_en, tuple(r.citations)) for r in seen) == sorted(x for i in range(10) for x in [(f"s{i}", 0, "One.", ("c",)), (f"s{i}", 1, "Two", ())])
+
+
+def test_stream_answers_refuse_once(spark, tmp_path):
+    schema = "stream_id string, seq int, chunk string, eos boolean, gated boolean, citations array<string>"
+    first = [("gate", 0, "Anything. At", False, True, ["c"]), ("lead", 0, "NO_ANSWER_IN", False, False, ["c"]), ("late", 0, "Heat moves. (NO_ANSWER_IN_SOURCE). It is f", False, False, ["c", "d"])]
+    second = [("gate", 1, " all.", True, True, ["c"]), ("lead", 1, "_SOURCE. Then more.", True, False, ["c"]), ("late", 1, "ast.", True, False, ["c", "d"])]
+    got = run_stream(spark, tmp_path, [first, second], schema, streams.answers).orderBy("stream_id", "index").collect()
+    assert [(r.stream_id, r["index"], r.refused, r.citations) for r in got] == [("gate", 0, True, []), ("late", 0, False, ["c", "d"]), ("late", 1, False, []), ("late", 2, False, []), ("lead", 0, True, [])]
+    assert [r.text_en for r in got if r.stream_id == "late"][0::2] == ["Heat moves.", "It is fast."]
+
+
+def test_generated_pieces_become_answers(spark, tmp_path):
+    def speak(system, user):
+        for w in user.split():
+            if w == "bad":
+                raise RuntimeError("lost")
+            yield w + " "
+
+    prompted = spark.createDataFrame([(1, "s", "Plants grow. They eat light."), (2, "s", "Some bad one.")], "request_id bigint, system_prompt string, user_prompt string")
+    rows = sorted(map(tuple, providers.streamed(prompted, speak).collect()))
+    assert rows[-1] == ("2", 1, "", True, "RuntimeError: lost") and [r[2] for r in rows if r[0] == "1"] == ["Plants ", "grow. ", "They ", "eat ", "light. ", ""]
+
+
+def test_embedders(spark):
+    providers._REGISTRY.pop(("embed", "tfidf"), None)
+    with pytest.raises(RuntimeError):
+        providers.choose_embedder()
+
+    @providers.provider("embed", "tfidf")
+    def letters():
+        def run(texts, most):
+            width = max(map(len, texts), default=1) or 1
+            tokens, mask = np.zeros((len(texts), width, 3)), np.zeros((len(texts), width))
+            for i, t in enumerate(texts):
+                for j, c in enumerate(t[:most]):
+                    tokens[i, j, ord(c) % 3] = 1
+                    mask[i, j] = c != " "
+            return tokens, mask
+        return run
+
+    with pytest.raises(ValueError):
+        providers.choose_embedder("onnx")
+    name, run = providers.choose_embedder()
+    df = spark.createDataFrame([(1, "abc"), (2, None), (3, "   "), (4, "aaa")], "id int, text string")
+    got = {r.id: r.embedding for r in providers.embedded(df, run, backend=name, batch=2).collect()}
+    assert got[2] is None and got[3] == [0, 0, 0] and np.allclose(got[1], [3**-0.5] * 3) and sum(x * x for x in got[4]) == pytest.approx(1)
+    near = search.dense_topk(providers.embedded(df, run, backend=name).where("embedding is not null").select(F.col("id").alias("vec_id"), "embedding"), providers.embedded(df.where("id = 4"), run, backend=name).select(F.col("id").alias("query_id"), "embedding"), k=1)
+    assert [(r.query_id, r.vec_id) for r in near.collect()] == [(4, 4)]
+    providers._REGISTRY.pop(("embed", "tfidf"))
+
+
+def test_dense_search_many_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(0)
+    m = np.round(rng.normal(size=(60, 4)), 1).astype(np.float32)
+    v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)], "vec_id int, embedding array<float>").repartition(3)
+    q_ = v.where("vec_id % 5 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    s = np.round(m[::5].astype(float) @ m.T.astype(float), 6)
+    want = sorted((5 * i, r + 1, int(j), float(s[i, j])) for i in range(12) for r, j in enumerate(sorted(range(60), key=lambda j: (-s[i, j], j))[:4]))
+    for most, block in ((20_000, 1024), (3, 7)):
+        monkeypatch.setattr(search, "BROADCAST_QUERIES", most)
+        monkeypatch.setattr(search, "QUERY_BLOCK", block)
+        monkeypatch.setattr(search, "VECTOR_BLOCK", block)
+        assert sorted(map(tuple, search.dense_topk(v, q_).collect())) == want
+    with pytest.raises(Exception, match="length"):
+        search.dense_topk(v, spark.createDataFrame([(1, [1.0, 2.0])], "query_id int, embedding array<float>")).collect()
+    assert search.dense_topk(v, q_.limit(0)).count() == 0
+
+
+def test_stored_index(spark, tmp_path):
+    texts = ["plants need light and water", "the moon turns round the earth", "water boils with heat", None, "light is fast"]
+    c = spark.createDataFrame([(i, t, f"c{i}", "ch", None, None if i == 2 else i, None, "by", 0) for i, t in enumerate(texts)], "chunk_id bigint, text string, content_id string, chapter string, section string, page int, source string, license string, chunk_index int")
+    path = str(tmp_path / "index")
+    index.build(c, path, "mine", 0.1)
+    r = spark.createDataFrame([(1, "light for plants"), (2, "zebra")], "request_id bigint, text string")
+    opened = index.Index(spark, path)
+    got = opened.passages(opened.search(r)).orderBy("rn").collect()
+    assert [(x.request_id, x.chunk_id, x.source, x.page) for x in got] == [(1, 0, "mine", 0), (1, 4, "mine", 4)] and opened.min_score == 0.1
+    want = search.sparse_topk(c, r).orderBy("rn").collect()
+    assert [(x.chunk_id, x.score) for x in got] == [(x.chunk_id, x.score) for x in want]
+    with pytest.raises(Exception, match="No chunks"):
+        index.build(c.limit(0), path, "mine", None)
+    assert index.Index(spark, path).search(r).count() == 2  # What failed left the old one.
+    index.build(c.where("chunk_id < 2"), path, "mine", None)
+    assert index.Index(spark, path).search(r).count() == 1 and os.listdir(tmp_path) == ["index"]
+    shutil.rmtree(tmp_path / "index" / "vocabulary")
+    with pytest.raises(FileNotFoundError, match="vocabulary"):
+        index.Index(spark, path)
+
+
+def test_waiting_for_a_model():
+    asked = []
+    assert providers.until_ready(lambda: (asked.append(1) or len(asked) > 2, "up"), 5, 0.01) == "up"
+    with pytest.raises(TimeoutError, match="down"):
+        providers.until_ready(lambda: (False, "down"), 0.02, 0.01)
