@@ -120,7 +120,22 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.found(table(spark, sf_dir, "chapters"))
 
 
-@REGISTRY.add("p1_groups")
+P1_GROUPS_SQL = r"""
+WITH RECURSIVE words AS (SELECT chapter_id, list_filter(regexp_split_to_array(lower(text), '[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+'), lambda x: x <> '') AS w FROM chapters WHERE text IS NOT NULL),
+members AS (SELECT chapter_id AS id, md5(array_to_string(w, ' ')) AS k, w FROM words WHERE len(w) >= 5),
+once AS (SELECT k, min(id) AS first, count(*) AS copies, any_value(w) AS w FROM members GROUP BY k),
+runs AS (SELECT DISTINCT k, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] || ' ' || w[i + 4] AS s FROM once, LATERAL (SELECT unnest(range(1, len(w) - 3)) AS i)),
+sized AS (SELECT k, count(*) AS n FROM runs GROUP BY k),
+shared AS (SELECT a.k AS x, b.k AS y, count(*) AS c FROM runs a JOIN runs b ON a.s = b.s AND a.k <> b.k GROUP BY a.k, b.k),
+links AS (SELECT x, y FROM shared JOIN sized a ON a.k = x JOIN sized b ON b.k = y WHERE 5 * c >= 4 * (a.n + b.n - c)),
+reach AS (SELECT k AS x, k AS y FROM once UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y),
+named AS (SELECT r.x AS k, min(o.first) AS group_id FROM reach r JOIN once o ON o.k = r.y GROUP BY r.x),
+degree AS (SELECT x AS k, count(*) AS links FROM links GROUP BY x)
+SELECT id, group_id, copies, coalesce(links, 0) AS links FROM members JOIN once USING (k) JOIN named USING (k) LEFT JOIN degree USING (k)
+"""
+
+
+@REGISTRY.add("p1_groups", P1_GROUPS_SQL)
 def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every chapter of five words or more with its group of near-duplicates, at five words and 0.8."""
     return neardup.near_duplicates(table(spark, sf_dir, "chapters"), "chapter_id", "text").groups()
