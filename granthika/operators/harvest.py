@@ -21,9 +21,13 @@ def predicates(items: DataFrame, grade: str | None = None, medium: str | None =
 
 
 def first_wins(items: DataFrame, key: str, *order: str) -> DataFrame:
-    """One row per key, the first in order; rows without a key are dropped."""
-    rn = F.row_number().over(Window.partitionBy(key).orderBy(*order))
-    return items.where(F.col(key).isNotNull() & (F.col(key) != "")).withColumn("rn_", rn).where("rn_ = 1").drop("rn_")
+    """One row per key, the first in order, ties going by the other columns; rows without a key are dropped.
+
+    An aggregate keeps the least row of each key, so that a key's rows need not meet in one task.
+    """
+    rows = items.where(F.col(key).isNotNull() & (F.col(key) != ""))
+    least = F.min(F.struct(*dict.fromkeys([*order, *items.columns]))).alias("least_")
+    return rows.groupBy(F.col(key).alias("key_")).agg(least).select(*(F.col(f"least_.`{c}`").alias(c) for c in items.columns))
 
 
 def harvest(items: DataFrame, pages: DataFrame, suffix: str = ".pdf", min_chars: int = MIN_CHARS, limit: int | None = None) -> DataFrame:
