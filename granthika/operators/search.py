@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from granthika.operators import tfidf
+from granthika.operators import blocks, tfidf
 
 TOP_K = 3
 #: Rows of a block: queries and vectors.
@@ -114,10 +114,8 @@ def search_vectors(vectors: DataFrame, vocabulary: DataFrame, requests: DataFram
 
 
 def sparse_topk(items: DataFrame, requests: DataFrame, k: int = TOP_K, item: str = "chunk_id", request: str = "request_id", text: str = "text") -> DataFrame:
-    """As ``search_vectors``, fitting the items at hand."""
-    counts = tfidf.term_counts(items, item, text)
-    vocab = tfidf.with_ids(tfidf.vocabulary(counts, items))
-    return search_vectors(tfidf.vectors(counts, vocab, item), vocab, requests, k, item, request, text)
+    """As ``search_vectors``, fitting the items at hand; no index is stored."""
+    return blocks.topk(items, requests, k, item, request, text)
 
 
 def dense_topk(vectors: DataFrame, queries: DataFrame, k: int = 4, key: str = "vec_id", query: str = "query_id", column: str = "embedding", block: int | None = None) -> DataFrame:

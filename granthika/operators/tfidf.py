@@ -24,7 +24,11 @@ def term_counts(items: DataFrame, key: str, text: str) -> DataFrame:
 
 def vocabulary(counts: DataFrame, items: DataFrame, max_ratio: float = MAX_DF_RATIO) -> DataFrame:
     """``term``, ``df``, ``idf`` of the terms in at most ``max_ratio`` of all items."""
-    df = counts.groupBy("term").agg(F.count("*").alias("df"))
+    return weighed(counts.groupBy("term").agg(F.count("*").alias("df")), items, max_ratio)
+
+
+def weighed(df: DataFrame, items: DataFrame, max_ratio: float = MAX_DF_RATIO) -> DataFrame:
+    """As ``vocabulary``, from the terms with the number of items that have them."""
     n = items.agg(F.greatest(F.count("*"), F.lit(1)).alias("n"))
     return df.crossJoin(F.broadcast(n)).where(F.col("df") <= max_ratio * F.col("n")).select("term", "df", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
 
